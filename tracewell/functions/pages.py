@@ -242,42 +242,49 @@ def json_ld_objects(html: Column, depth: int = 4) -> Column:
     return state["found"]
 
 
-def _text_at(value: Column, path: str) -> Column:
-    """A string at a path; numbers, flags and containers do not count."""
-    return let(F.try_variant_get(value, path, "variant"), lambda raw: F.when(
-        F.schema_of_variant(raw) == "STRING",
-        F.substring(clean_lines(F.try_variant_get(raw, "$", "string")), 1, 1000),
-    ))
+def _scalar_text(value: Column) -> Column:
+    """A string value on one line; numbers, flags and containers do not count."""
+    return F.when(
+        F.schema_of_variant(value) == "STRING",
+        F.substring(clean_lines(F.try_variant_get(value, "$", "string")), 1, 1000),
+    )
 
 
-def json_scalar(value: Column, key: str) -> Column:
-    """A property's text: itself, or the name/headline/value of an object, or the first of a list."""
-    base = f"$['{key}']"
-    named = [f"{base}.{n}" for n in ("name", "headline", "value")]
-    items = F.try_variant_get(value, base, "array<variant>")
-    first_item = F.get(
-        F.filter(
-            F.transform(
-                items,
-                lambda v: F.coalesce(_text_at(v, "$"), *[_text_at(v, f"$.{n}") for n in ("name", "headline", "value")]),
-            ),
-            lambda t: t.isNotNull(),
-        ),
-        F.lit(0),
-    )
-    return F.coalesce(_text_at(value, base), first_item, *[_text_at(value, p) for p in named])
+#: The properties that page metadata is taken from.
+JSON_KEYS = (
+    "headline", "name", "publisher", "author", "creator", "datePublished", "uploadDate", "dateModified", "@type",
+)
+
+
+def json_scalars(value: Column, keys=JSON_KEYS) -> Column:
+    """The texts of several properties of an object, in the order of the keys.
+
+    A property's text is itself, or the first text of its list, or its name, headline or
+    value.  The object is read as a map once; one expression serves all keys.
+    """
+    def options(v: Column) -> Column:
+        """The value, the items of a list, then what either is called."""
+        items = F.concat(
+            F.array(v), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")))
+        named = F.flatten(F.transform(items, lambda i: F.array(
+            i, *[F.try_variant_get(i, f"$.{n}", "variant") for n in ("name", "headline", "value")])))
+        return F.transform(named, _scalar_text)
+
+    properties = F.try_variant_get(value, "$", "map<string, variant>")
+    wanted = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.try_element_at(properties, k))
+    return F.transform(wanted, lambda v: F.get(F.array_compact(options(v)), F.lit(0)))
 
 
 def article_object(objects: Column) -> Column:
     """The first object of an article type, else the first that carries a date."""
-    by_type = F.filter(objects, lambda o: F.lower(json_scalar(o, "@type")).isin(*K.ARTICLE_TYPES))
-    dated = F.filter(
-        objects,
-        lambda o: F.try_variant_get(o, "$.datePublished", "variant").isNotNull()
-        | F.try_variant_get(o, "$.uploadDate", "variant").isNotNull()
-        | F.try_variant_get(o, "$.dateModified", "variant").isNotNull(),
-    )
-    return F.coalesce(F.get(by_type, F.lit(0)), F.get(dated, F.lit(0)))
+    def rank(o: Column) -> Column:
+        dated = [F.try_variant_get(o, f"$.{n}", "variant").isNotNull() for n in ("datePublished", "uploadDate", "dateModified")]
+        kind = F.lower(F.get(json_scalars(o, ("@type",)), F.lit(0)))
+        return F.when(kind.isin(*K.ARTICLE_TYPES), 0).when(dated[0] | dated[1] | dated[2], 1)
+
+    ranked = F.transform(objects, lambda o: F.struct(rank(o).alias("rank"), o.alias("object")))
+    first = lambda r: F.get(F.filter(ranked, lambda x: x["rank"] == r), F.lit(0))["object"]
+    return F.coalesce(first(0), first(1))
 
 
 def canonical_url(html: Column, base: Column) -> Column:
@@ -304,7 +311,7 @@ def canonical_url(html: Column, base: Column) -> Column:
             F.filter(F.transform(tags, attributes), is_canonical),
             lambda pairs: urls.normal_url(absolute(attribute(pairs, "href"), p)),
         )
-        same = F.filter(links, lambda u: u.isNotNull() & (urls.host(u) == p["host"]))
+        same = F.filter(links, lambda u: urls.host(u) == p["host"])
         return F.when(p["web"], F.get(same, F.lit(0)))
 
     return F.when(~html.rlike("(?i)canonical"), None).otherwise(let(urls.parts(base), own))
@@ -312,22 +319,34 @@ def canonical_url(html: Column, base: Column) -> Column:
 
 # ---------------------------------------------------------------- dates
 
-def _date(raw: Column, kind, confidence: float, place: str, source: str, as_of: int) -> Column:
-    """A date candidate, null unless the raw text is a usable date."""
-    return let(raw, lambda text: let(normalize_evidence_date(text, as_of), lambda value: F.when(
-        value.isNotNull(),
-        F.struct(
-            value.alias("value"),
-            (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"),
-            F.lit(confidence).alias("confidence"),
-            F.concat(F.lit(place + ": "), F.substring(text, 1, 120)).alias("evidence"),
-            F.lit(source).alias("source"),
-        ),
-    )))
+_CANDIDATE = "struct<raw: string, type: string, confidence: double, place: string, source: string>"
 
 
-def _time_dates(html: Column, modified: bool, as_of: int) -> Column:
-    """The first ``<time>`` element whose markup or surroundings say what it dates."""
+def _candidate(raw: Column, kind, confidence: float, place: str, source: str) -> Column:
+    return F.struct(
+        raw.alias("raw"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("type"),
+        F.lit(confidence).alias("confidence"), F.lit(place).alias("place"), F.lit(source).alias("source"),
+    ).cast(_CANDIDATE)
+
+
+def first_dates(lists: Column, as_of: int) -> Column:
+    """For each list of candidates the first whose raw text is a usable date, else null."""
+    def dated(c: Column) -> Column:
+        return let(normalize_evidence_date(c["raw"], as_of), lambda value: F.when(
+            value.isNotNull(),
+            F.struct(
+                value.alias("value"), c["type"].alias("type"), c["confidence"].alias("confidence"),
+                F.concat(c["place"], F.lit(": "), F.substring(c["raw"], 1, 120)).alias("evidence"),
+                c["source"].alias("source"),
+            ),
+        ))
+
+    return F.transform(lists, lambda cs: F.get(F.array_compact(F.transform(
+        F.filter(cs, lambda c: F.length(c["raw"]) > 0), dated)), F.lit(0)))
+
+
+def time_elements(html: Column) -> Column:
+    """The ``<time>`` elements: raw date, and what markup or surroundings say they date."""
     pattern = (
         rf"(?i)({_ANY}{{0,180}}?)<time(?![A-Za-z0-9_])([^>]*)>({_ANY}*?)</time{SPACE}*>(?=({_ANY}{{0,180}}))"
     )
@@ -335,72 +354,61 @@ def _time_dates(html: Column, modified: bool, as_of: int) -> Column:
     zipped = F.arrays_zip(
         part(1).alias("before"), part(2).alias("head"), part(3).alias("body"), part(4).alias("after")
     )
+    near = lambda t: F.concat(
+        t["before"], F.lit("<time"), t["head"], F.lit(">"), t["body"], F.lit("</time>"), t["after"])
+    read = F.transform(zipped, lambda t: F.struct(
+        attributes(t["head"]).alias("pairs"), strip_markup(near(t)).alias("nearby"), strip_markup(t["body"]).alias("body")))
+
+    def judged(t: Column) -> Column:
+        prop = F.lower(F.coalesce(attribute(t["pairs"], "itemprop"), F.lit("")))
+        css = F.lower(F.coalesce(attribute(t["pairs"], "class"), F.lit("")))
+        return F.struct(
+            F.coalesce(attribute(t["pairs"], "datetime"), t["body"]).alias("raw"),
+            (prop.isin("datepublished", "uploaddate") | found(css, K.TIME_PUBLISHED_CLASS)
+             | found(t["nearby"], K.TIME_PUBLISHED_TEXT)).alias("published"),
+            ((prop == "datemodified") | found(css, K.TIME_MODIFIED_CLASS)
+             | found(t["nearby"], K.TIME_MODIFIED_TEXT)).alias("modified"),
+            ((prop == "uploaddate") | found(t["nearby"], r"\buploaded\b")).alias("uploaded"),
+        )
 
-    def candidate(t: Column) -> Column:
-        nearby = strip_markup(F.concat(
-            t["before"], F.lit("<time"), t["head"], F.lit(">"), t["body"], F.lit("</time>"), t["after"]))
-        bound = F.struct(attributes(t["head"]).alias("pairs"), nearby.alias("nearby"), t["body"].alias("body"))
-        return let(bound, lambda b: judged(b["pairs"], b["nearby"], b["body"]))
-
-    def judged(pairs: Column, nearby: Column, body: Column) -> Column:
-        prop = F.lower(F.coalesce(attribute(pairs, "itemprop"), F.lit("")))
-        css = F.lower(F.coalesce(attribute(pairs, "class"), F.lit("")))
-        if modified:
-            fits = (
-                (prop == "datemodified") | found(css, K.TIME_MODIFIED_CLASS) | found(nearby, K.TIME_MODIFIED_TEXT)
-            )
-            kind = F.lit("modified")
-        else:
-            fits = (
-                prop.isin("datepublished", "uploaddate")
-                | found(css, K.TIME_PUBLISHED_CLASS) | found(nearby, K.TIME_PUBLISHED_TEXT)
-            )
-            kind = F.when((prop == "uploaddate") | found(nearby, r"\buploaded\b"), "upload").otherwise("publication")
-        raw = F.coalesce(attribute(pairs, "datetime"), strip_markup(body))
-        place = f"contextual HTML <time> ({'modified' if modified else 'publication'})"
-        return F.when(fits, _date(raw, kind, K.DATE_CONFIDENCE["time_element"], place, "article_metadata", as_of))
-
-    has_time = html.rlike(r"(?i)<time(?![A-Za-z0-9_])")
-    return F.when(has_time, F.get(F.filter(F.transform(zipped, candidate), lambda d: d.isNotNull()), F.lit(0)))
-
-
-def published_date(html: Column, text: Column, entries: Column, article: Column, as_of: int) -> Column:
-    """The best publication date a page gives for itself, as a candidate struct."""
-    c = K.DATE_CONFIDENCE
-    visible = [
-        _date(F.nullif(F.regexp_extract(text, java(p, True), 1), F.lit("")), "publication",
-              c["visible_label"], "visible publication label", "visible_text", as_of)
-        for p in K.VISIBLE_DATES
-    ]
-    return F.coalesce(
-        _date(json_scalar(article, "datePublished"), "publication", c["json_ld_published"],
-              "JSON-LD datePublished", "json_ld", as_of),
-        _date(json_scalar(article, "uploadDate"), "upload", c["json_ld_uploaded"],
-              "JSON-LD uploadDate", "json_ld", as_of),
-        _date(first_meta(entries, K.META_OPENGRAPH_DATE), "publication", c["opengraph"],
-              "OpenGraph article:published_time", "opengraph", as_of),
-        _date(first_meta(entries, K.META_PUBLISHED), "publication", c["html_published"],
-              "HTML publication metadata", "html_metadata", as_of),
-        _time_dates(html, False, as_of),
-        *visible,
-    )
+    return F.when(html.rlike(r"(?i)<time(?![A-Za-z0-9_])"), F.transform(read, judged))
 
 
-def modified_date(html: Column, entries: Column, article: Column, as_of: int) -> Column:
+def date_candidates(text: Column, entries: Column, json: dict, times: Column, provider: Column) -> Column:
+    """Three candidate lists, best first: published, modified, search provider."""
     c = K.DATE_CONFIDENCE
-    return F.coalesce(
-        _date(json_scalar(article, "dateModified"), "modified", c["json_ld_modified"],
-              "JSON-LD dateModified", "json_ld", as_of),
-        _date(first_meta(entries, K.META_MODIFIED), "modified", c["html_modified"],
-              "HTML modification metadata", "html_metadata", as_of),
-        _time_dates(html, True, as_of),
+    none = F.array().cast(f"array<{_CANDIDATE}>")
+    from_times = lambda field, kind: F.coalesce(F.transform(
+        F.filter(times, lambda t: t[field]),
+        lambda t: _candidate(
+            t["raw"], F.when(t["uploaded"] & F.lit(kind == "publication"), "upload").otherwise(kind), c["time_element"],
+            f"contextual HTML <time> ({kind})", "article_metadata")), none)
+    visible = F.transform(
+        F.array(*[F.regexp_extract(text, java(p, True), 1) for p in K.VISIBLE_DATES]),
+        lambda raw: _candidate(raw, "publication", c["visible_label"], "visible publication label", "visible_text"))
+    published = F.concat(
+        F.array(
+            _candidate(json["datePublished"], "publication", c["json_ld_published"], "JSON-LD datePublished", "json_ld"),
+            _candidate(json["uploadDate"], "upload", c["json_ld_uploaded"], "JSON-LD uploadDate", "json_ld"),
+            _candidate(first_meta(entries, K.META_OPENGRAPH_DATE), "publication", c["opengraph"],
+                       "OpenGraph article:published_time", "opengraph"),
+            _candidate(first_meta(entries, K.META_PUBLISHED), "publication", c["html_published"],
+                       "HTML publication metadata", "html_metadata"),
+        ),
+        from_times("published", "publication"), visible,
     )
-
-
-def provider_date(raw: Column, as_of: int) -> Column:
-    """A search provider's date: an index date, never evidence of publication."""
-    return _date(raw, "crawl_index", K.DATE_CONFIDENCE["provider"],
-                 "search-provider date (not publication evidence)", "provider", as_of)
+    modified = F.concat(
+        F.array(
+            _candidate(json["dateModified"], "modified", c["json_ld_modified"], "JSON-LD dateModified", "json_ld"),
+            _candidate(first_meta(entries, K.META_MODIFIED), "modified", c["html_modified"],
+                       "HTML modification metadata", "html_metadata"),
+        ),
+        from_times("modified", "modified"),
+    )
+    # A provider's date is an index date, never evidence of publication.
+    indexed = F.array(_candidate(provider, "crawl_index", c["provider"],
+                                 "search-provider date (not publication evidence)", "provider"))
+    return F.array(published, modified, indexed)
 
 
 # ---------------------------------------------------------------- classification

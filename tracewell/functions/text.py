@@ -57,7 +57,8 @@ def clean_label(text: Column, limit: int) -> Column:
 # ---------------------------------------------------------------- numbers
 
 def clamp(value: Column) -> Column:
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+    """Bound to [0, 1]; null stays null (``least`` and ``greatest`` would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
 def round3(value: Column) -> Column:

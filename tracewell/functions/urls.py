@@ -49,6 +49,14 @@ def parts(url: Column) -> Column:
     ))
 
 
+_HOST = r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?(\[[^\]]*\]|[^:/\\?#]*)"
+_WEB = (
+    r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?(?:\[[0-9a-f:.%]+\]|[^\s<>\\^|%:/?#@\[\]]+)(?::[0-9]*)?(?:[/\\?#]|$)"
+)
+_TRACKED = r"(?i)([?&])(?:utm_[^=&]*|" + "|".join(K.TRACKING_PARAMETERS) + r")(?:=[^&]*)?(?=&|$)"
+_MARK = "\x01"
+
+
 def scheme(url: Column) -> Column:
     """``http`` or ``https``, else an empty string."""
     return F.lower(F.regexp_extract(strip_space(url), "(?i)^(https?):", 1))
@@ -56,19 +64,19 @@ def scheme(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host name; an IPv6 literal keeps its brackets."""
-    return parts(url)["host"]
+    return F.lower(F.regexp_extract(strip_space(url), _HOST, 1))
 
 
 def is_web_url(url: Column) -> Column:
     """An absolute http(s) URL with a host."""
-    return F.coalesce(parts(url)["web"], F.lit(False))
+    return F.coalesce(strip_space(url).rlike(_WEB), F.lit(False))
 
 
 def percent_encode(part: Column) -> Column:
     """Percent-encode white space and non-ASCII characters, leaving the rest alone."""
-    encoded = lambda text: F.array_join(
+    encoded = F.array_join(
         F.transform(
-            F.split(text, ""),
+            F.split(part, ""),
             lambda c: F.when(
                 c.rlike(r"[^\x21-\x7e]"),
                 F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"),
@@ -76,62 +84,64 @@ def percent_encode(part: Column) -> Column:
         ),
         "",
     )
-    return let(part, lambda text: F.when(text.rlike(r"[^\x21-\x7e]"), encoded(text)).otherwise(text))
+    return F.when(part.rlike(r"[^\x21-\x7e]"), encoded).otherwise(part)
 
 
-def origin(p: Column) -> Column:
-    """Scheme, credentials, host and port of parsed parts."""
-    return F.concat(
-        p["scheme"], F.lit("://"),
-        F.when(p["credentials"] != "", F.concat(p["credentials"], F.lit("@"))).otherwise(""),
-        p["host"],
-        F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""),
+def _origin(text: Column) -> Column:
+    """Scheme, credentials, host and port of a stripped URL, without the scheme's own port."""
+    whole = F.concat(
+        F.lower(F.regexp_extract(text, "(?i)^(https?):", 1)), F.lit("://"),
+        F.regexp_extract(text, r"(?i)^https?:[/\\]*([^/\\?#]*@)?", 1),
+        F.lower(F.regexp_extract(text, r"(?i)^https?:[/\\]*(?:[^/\\?#]*@)?([^/\\?#]*)", 1)),
     )
+    return F.regexp_replace(whole, r"^(http://.*):80$|^(https://.*):443$|:$", "$1$2")
 
 
-def normal_url(url: Column) -> Column:
-    """The URL as a browser would write it; null unless it is an absolute http(s) URL."""
-    return let(parts(url), lambda p: F.when(
-        p["web"], F.concat(origin(p), percent_encode(F.concat(p["path"], p["query"], p["fragment"])))
-    ))
-
-
-def _kept_query(query: Column) -> Column:
-    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
-    tracked = lambda p: name(p).startswith("utm_") | name(p).isin(K.TRACKING_PARAMETERS)
+def _path(text: Column) -> Column:
+    raw = F.regexp_extract(text, r"(?i)^https?:[/\\]*[^/\\?#]*([^?#]*)", 1)
+    return F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^$", "/")
 
-    def without_tracking(params: Column) -> Column:
-        kept = F.array_join(F.filter(params, lambda p: ~tracked(p) & (p != "")), "&")
-        stripped = let(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise(""))
-        return F.when(F.exists(params, tracked), stripped).otherwise(query)
 
-    return F.when(query == "", "").otherwise(let(F.split(F.substring(query, 2, 1 << 30), "&"), without_tracking))
+def normal_url(url: Column) -> Column:
+    """The URL as a browser would write it; null unless it is an absolute http(s) URL."""
+    text = strip_space(url)
+    rest = F.concat(_path(text), F.regexp_extract(text, "([?#].*)$", 1))
+    return F.when(is_web_url(url), F.concat(_origin(text), percent_encode(rest)))
 
 
 def url_key(url: Column) -> Column:
-    """The identity of a page: no fragment, no tracking parameters, no trailing slash."""
-    def keyed(p: Column) -> Column:
-        trimmed = let(F.regexp_replace(p["path"], "/+$", ""), lambda t: F.when(t == "", "/").otherwise(t))
-        return F.when(
-            p["web"], F.concat(origin(p), percent_encode(F.concat(trimmed, _kept_query(p["query"]))))
-        ).otherwise(p["raw"])
+    """The identity of a page: no fragment, no tracking parameters, no trailing slash.
 
-    return let(parts(url), keyed)
+    Tracking parameters become a mark first; then the marks go with their separators.
+    """
+    text = strip_space(url)
+    query = F.regexp_extract(text, r"^[^?#]*(\?[^#]*)", 1)
+    marked = F.regexp_replace(query, _TRACKED, f"$1{_MARK}")
+    kept = F.regexp_replace(
+        F.regexp_replace(marked, rf"&{_MARK}|^\?{_MARK}$", ""), rf"^\?{_MARK}&?", "?")
+    shown = F.regexp_replace(F.regexp_replace(_path(text), "/+$", ""), "^$", "/")
+    rest = F.concat(shown, F.when(query == "", "").otherwise(F.regexp_replace(kept, r"^\?$", "")))
+    return F.when(is_web_url(url), F.concat(_origin(text), percent_encode(rest))).otherwise(text)
 
 
 def domain(url: Column, fallback: Column | None = None) -> Column:
     """Host of the URL; the fallback (lower-case) where the URL is not absolute."""
     other = F.lower(fallback) if fallback is not None else F.lit("")
-    return let(parts(url), lambda p: F.when(p["web"], p["host"]).otherwise(other))
+    return F.when(is_web_url(url), host(url)).otherwise(other)
 
 
 def has_specific_target(url: Column) -> Column:
     """The URL names an item (a path or a query), not just a site."""
-    return let(parts(url), lambda p: (p["path"] != "/") | (F.length(p["query"]) > 1))
+    text = strip_space(url)
+    return (_path(text) != "/") | (F.length(F.regexp_extract(text, r"^[^?#]*(\?[^#]*)", 1)) > 1)
 
 
 def is_bare_origin(url: Column) -> Column:
-    return F.coalesce(let(parts(url), lambda p: p["web"] & (p["path"] == "/")), F.lit(False))
+    return F.coalesce(is_web_url(url) & (_path(strip_space(url)) == "/"), F.lit(False))
+
+
+def has_credentials(url: Column) -> Column:
+    return F.coalesce(strip_space(url).rlike(r"(?i)^https?:[/\\]*[^/\\?#]*@"), F.lit(False))
 
 
 # ---------------------------------------------------------------- network policy
@@ -230,8 +240,11 @@ def is_public_ipv6(address: Column) -> Column:
     return F.coalesce(let(ipv6_groups(address), public), F.lit(False))
 
 
-def url_policy(url: Column) -> Column:
-    """Why a URL may not be acquired; null when it may.  Host names are not resolved here."""
+def url_policy(*urls: Column) -> Column:
+    """Why a URL (the first refused of several) may not be acquired; null when all may.
+
+    Host names are not resolved here.
+    """
     def verdict(p: Column) -> Column:
         name = F.regexp_replace(p["host"], r"\.$", "")
         literal6 = F.regexp_extract(name, r"^\[(.*)\]$", 1)
@@ -247,4 +260,6 @@ def url_policy(url: Column) -> Column:
                 F.when(n.isNull(), "invalid").when(~is_public_ipv4(n), "private_address")))
         )
 
-    return F.when(url.isNull(), "invalid").otherwise(let(parts(url), verdict))
+    judged = F.transform(F.array(*urls), lambda u: F.coalesce(
+        F.when(u.isNull(), "invalid"), let(parts(u), verdict)))
+    return F.get(F.array_compact(judged), F.lit(0))

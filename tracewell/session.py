@@ -20,6 +20,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+#: Settings a session must be built with.  Recording the Python call site of every column
+#: costs more than building the column.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,7 +41,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "tracew
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
