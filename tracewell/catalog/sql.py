@@ -68,6 +68,11 @@ def clamp(x: str) -> str:
     return f"greatest(0e0, least(1e0, {x}))"
 
 
+def mean3(x: str, when: str | None = None) -> str:
+    only = f" FILTER ({when})" if when else ""
+    return f"floor(sum(round({x} * 1e6)::BIGINT){only}::DOUBLE / (count({x}){only} * 1000) + 0.5e0) / 1000e0"
+
+
 def match_terms(x: str) -> str:
     stop = members(K.MATCH_STOPWORDS)
     return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN {stop}))"
@@ -262,3 +267,57 @@ def source_type(domain: str, title: str, article_like: str) -> str:
  WHEN {found(domain, K.SOURCE_ACADEMIC, False)} THEN 'academic' WHEN {found(both, K.SOURCE_FACT_CHECK, False)} THEN 'fact_check'
  WHEN {found(domain, K.SOURCE_SOCIAL, False)} THEN 'social' WHEN {found(domain, K.SOURCE_REFERENCE, False)} THEN 'reference'
  WHEN {article_like} THEN 'news' ELSE 'other' END"""
+
+
+# ---------------------------------------------------------------- claim fields
+
+def quotes(x: str) -> str:
+    both = f"list_concat(regexp_extract_all({x}, {re2(K.DOUBLE_QUOTED)}, 1), regexp_extract_all({x}, {re2(K.SINGLE_QUOTED)}, 1))"
+    return f"list_filter(list_transform({both}, lambda q: {clean('q')}), lambda q: q <> '')"
+
+
+def fields(source: str, name: str) -> str:
+    """A common table expression adding every claim field to ``source`` (columns claim, title)."""
+    verb = found("claim", K.FINITE_VERB)
+    head = f"regexp_extract(claim, {re2('^([' + chr(92) + 'x{0}-' + chr(92) + 'x{10FFFF}]*?)' + K.FINITE_VERB, True)}, 1)"
+    tail = clean(f"regexp_extract(claim, {re2(K.FINITE_VERB + '[' + chr(92) + 'x{0}-' + chr(92) + 'x{10FFFF}]*', True)})")
+    bare = clean("claim")
+    for pattern in K.FRAMING:
+        bare = f"regexp_replace({bare}, {re2(pattern, True)}, '')"
+    named = f"regexp_replace(regexp_extract(claim, {re2(K.EVENT_DATE_NAMED, True)}, 1), '(?i)(\\d)(?:st|nd|rd|th)', '\\1')"
+    labels = "[" + ", ".join(f"CASE WHEN {found('claim', p)} THEN {text(label)} END" for p, label in K.QUALIFIERS)
+    genuine = f"({found('claim', K.GENUINE_MEDIA)} OR ({found('claim', K.WAS_PHOTOGRAPHED)} AND NOT {found('claim', K.SYNTHETIC_MEDIA)}))"
+    contexts = (
+        f"[CASE WHEN {found('claim', K.SYNTHETIC_MEDIA)} THEN {text(K.SYNTHETIC_LABEL)} END, CASE WHEN {genuine} THEN {text(K.GENUINE_LABEL)} END, "
+        f"'Presented as ' || {captured('claim', K.PRESENTED_AS)}, 'Caption: ' || {captured('claim', K.QUOTED_CAPTION)}]"
+    )
+    return f"""
+{name}_a AS MATERIALIZED (SELECT *, {first_captured('claim', K.ATTRIBUTION)} AS attribution,
+  CASE WHEN len({quotes('claim')}) > 0 THEN {first_captured('claim', K.SPEAKERS)} END AS quoted_speaker,
+  coalesce({first_label('claim', K.VERDICT)}, 'not_applicable') AS correction_verdict, {bare} AS bare FROM {source}),
+{name}_b AS MATERIALIZED (SELECT *, list_max(list_transform({quotes('bare')}, lambda q, i: {{'size': length(q), 'earliest': -i, 'text': q}}))['text'] AS longest FROM {name}_a),
+{name} AS MATERIALIZED (SELECT *,
+  CASE WHEN correction_verdict IN ('false', 'misleading') THEN CASE WHEN {found('claim', K.CORRECTING)} THEN 'corrects' ELSE 'rejects' END
+    WHEN correction_verdict IN ('mixed', 'unverified') THEN 'corrects' WHEN quoted_speaker IS NOT NULL THEN 'quotes'
+    WHEN trim(claim) LIKE '%?' THEN 'questions' WHEN {found('claim', K.REPORTING)} THEN 'reports' WHEN {verb} THEN 'asserts' ELSE 'unknown' END AS source_stance,
+  CASE WHEN {found('claim', K.FACT_CHECK_LABEL)} THEN 'fact_check_framing'
+    WHEN correction_verdict <> 'not_applicable' AND {found('claim', K.CORRECTION_WORDS)} THEN 'correction' WHEN quoted_speaker IS NOT NULL THEN 'quotation'
+    WHEN {found('claim', K.CAPTION_WORDS)} THEN 'caption' WHEN {compare_key('claim')} = {compare_key('title')} THEN 'headline'
+    WHEN {verb} THEN 'claim' ELSE 'unknown' END AS claim_type,
+  lower(regexp_replace(replace(regexp_replace({clean(f"CASE WHEN quoted_speaker IS NOT NULL AND longest IS NOT NULL THEN longest ELSE regexp_replace(bare, {re2(K.NARRATION, True)}, '') END")}, '[“”]', '"', 'g'), '’', chr(39)), '[.!?]+$', '')) AS normalized_proposition,
+  CASE WHEN length({head}) >= 2 AND length({clean(head)}) BETWEEN 2 AND 120 THEN {clean(head)} END AS subject,
+  CASE WHEN length({tail}) >= 2 THEN {tail} END AS event,
+  CASE WHEN regexp_extract(claim, {re2(K.EVENT_DATE_ISO)}, 1) <> '' THEN strftime(try_cast(regexp_extract(claim, {re2(K.EVENT_DATE_ISO)}, 1) AS DATE), '%Y-%m-%d')
+    ELSE strftime(try_strptime(replace({named}, ',', ''), '%B %d %Y'), '%Y-%m-%d') END AS event_date,
+  {captured('claim', K.LOCATION, False)} AS location, coalesce({captured('claim', K.ACTOR)}, attribution) AS actor,
+  {first_captured('claim', K.CAUSE)} AS causal_language,
+  coalesce({first_label('claim', K.CERTAINTY)}, CASE WHEN {verb} THEN 'asserted' ELSE 'unknown' END) AS certainty,
+  CASE WHEN {found('claim', K.MEDIA_WORDS)} THEN nullif(array_to_string(list_filter({contexts}, lambda c: c IS NOT NULL), '; '), '') END AS caption_context,
+  list_filter({labels}, 'according to ' || attribution], lambda q: q IS NOT NULL) AS qualifiers
+FROM {name}_b)"""
+
+
+FIELD_NAMES = (
+    "attribution quoted_speaker correction_verdict source_stance claim_type normalized_proposition subject event event_date "
+    "location actor causal_language certainty caption_context"
+).split()

@@ -515,7 +515,7 @@ def a08(t):
 
 
 @query("c15_evidence_lookup", f"""WITH {_SNAP_HEAD},
-refs AS (SELECT DISTINCT t.claim_id, k.passage_id, k.passage FROM kept_p k JOIN texts t USING (sid))
+refs AS (SELECT DISTINCT t.claim_id, k.passage FROM kept_p k JOIN texts t USING (sid))
 SELECT claim_id, 'all' AS item_id, count(DISTINCT passage) AS texts, sum(length(passage)) AS size FROM refs GROUP BY claim_id""")
 def c15(t):
     """All passages of a claim looked up again by their ids (date passages left out)."""

@@ -66,6 +66,16 @@ def round3(value: Column) -> Column:
     return F.floor(clamp(value) * F.lit(1000.0) + F.lit(0.5)) / F.lit(1000.0)
 
 
+def mean3(value: Column) -> Column:
+    """Mean of scores, rounded to three places.
+
+    Scores are added up as whole millionths, so that the order of rows cannot matter.
+    """
+    total = F.sum(F.round(value * F.lit(1e6)).cast("bigint"))
+    count = F.nullif(F.count(value), F.lit(0).cast("bigint"))
+    return F.floor(total / (count * F.lit(1000)) + F.lit(0.5)) / F.lit(1000.0)
+
+
 # ---------------------------------------------------------------- tokenizers
 
 def match_terms(text: Column) -> Column:

@@ -166,10 +166,11 @@ def summarize(node_table: DataFrame, edge_table: DataFrame, reached: DataFrame)
     from_in = F.coalesce("_from_source_id", F.lit(False))
     to_in = F.coalesce("_to_source_id", F.lit(False))
     established = F.col("status") == "established"
+    micro = F.round(F.col("confidence") * F.lit(1e6)).cast("bigint")  # exact in any order
     per_pair = both.groupBy("claim_id", "from_source_id", "to_source_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("confidence").alias("_sum"),
+        F.count(F.lit(1)).alias("_n"), F.sum(micro).alias("_sum"),
         F.count_if(from_in & to_in).alias("_n_in"),
-        F.sum(F.when(from_in & to_in, F.col("confidence"))).alias("_sum_in"),
+        F.sum(F.when(from_in & to_in, micro)).alias("_sum_in"),
         F.bool_or(established & to_in).alias("_transition"),
         F.bool_or(from_in & ~established).alias("_provisional"),
     )
@@ -188,13 +189,13 @@ def summarize(node_table: DataFrame, edge_table: DataFrame, reached: DataFrame)
         & (F.coalesce("_transitions", F.lit(0)) >= F.col("required_transitions"))
         & ~F.coalesce("_provisional", F.lit(False))
     )
-    relevant = F.when(F.col("_has_occurrence"), F.col("_sum_in") / F.nullif(F.col("_n_in"), F.lit(0))).otherwise(
-        F.col("_sum") / F.nullif(F.col("edges"), F.lit(0)))
+    relevant = F.when(F.col("_has_occurrence"), F.col("_sum_in") / (F.nullif(F.col("_n_in"), F.lit(0).cast("bigint")) * 1000)).otherwise(
+        F.col("_sum") / (F.nullif(F.col("edges"), F.lit(0).cast("bigint")) * 1000))
     return rows.select(
         "claim_id", "nodes", "edges",
         F.when(complete, "established").when(F.col("edges") > 0, "candidate")
         .otherwise("insufficient_evidence").alias("status"),
-        round3(relevant).alias("confidence"), "connected",
+        (F.floor(relevant + F.lit(0.5)) / F.lit(1000.0)).alias("confidence"), "connected",
         F.when(F.col("connected"), F.coalesce("_transitions", F.lit(0))).otherwise(0).cast("bigint").alias("established_transitions"),
         "required_transitions",
     )
