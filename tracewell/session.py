@@ -50,20 +50,24 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Materialize a frame in the shared checkpoint folder and forget how it was made.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local
-    session (tests, benchmarks) may fall back to a folder of its own.
+    Only a local session (tests, benchmarks) may fall back to a folder of its own.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+        "spark.checkpoint.dir", None)
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or frame.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Materialize a frame in the shared checkpoint folder and forget how it was made."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
