@@ -38,7 +38,7 @@ def authored(t) -> DataFrame:
     n, number = F.col("item_id"), F.col("item_id").cast("string")
     kinds = F.array(*[F.lit(h) for h in _HOPS])
     hop = lambda i: F.struct(
-        (F.lit("original_event") if i == 0 else F.element_at(kinds, (n + i) % 6 + 1)).alias("type"),
+        (F.lit("original_event") if i == 0 else F.element_at(kinds, ((n + i) % 6 + 1).cast("int"))).alias("type"),
         F.concat(F.lit(f"hop {i + 1} of "), number).alias("text"), F.lit("changed").alias("what_changed"),
         F.lit("matters").alias("why_it_matters"),
         F.array(_source(F.concat(F.lit("Desk "), number), _cited(n + i), F.lit(i == 0))).alias("sources"))
@@ -105,9 +105,12 @@ def a09(t):
     return records.list_records(loaded(t)).select("record_id", "canonical_claim", "verdict", "origin_date", "hop_count")
 
 
-@query("a10_get_record", "SELECT item_id AS record_id, text FROM benchmark WHERE item_id = 7")
+@query("a10_get_record", "SELECT event_id, item_id AS record_id, length(text) AS size FROM events LEFT JOIN benchmark ON item_id = user_id")
 def a10(t):
-    return records.get_record(t.benchmark.select(F.col("item_id").alias("record_id"), "text"), 7)
+    """Every event looks up the record of its user's number; most have none."""
+    asked = t.events.select("event_id", F.col("user_id").alias("record_id"))
+    library = t.benchmark.select(F.col("item_id").alias("record_id"), F.length("text").cast("bigint").alias("size"))
+    return records.lookup_records(asked, library).select("event_id", "record_id", "size")
 
 
 @query("b36_usable_citation", "SELECT item_id::VARCHAR AS record_id, i AS hop, (item_id + i) % 4 = 0 AS usable FROM benchmark, (VALUES (0), (1), (2), (3)) AS h(i)")
@@ -330,7 +333,7 @@ def j01(t):
 
 @query("j01_aligned_windows", """SELECT event_type AS key, epoch_us(ts) // 600000000 AS slot, count(*) AS requests, least(count(*), 3) AS allowed FROM events GROUP BY ALL""")
 def j01_aligned(t):
-    slot = F.floor(F.unix_micros("ts") / F.lit(600000000)).cast("bigint")
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(600000000)).cast("bigint")
     return t.events.groupBy(F.col("event_type").alias("key"), slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("requests"), F.least(F.count(F.lit(1)), F.lit(3)).alias("allowed"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.session import configure, table
+from tracewell.session import configure, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,8 @@ class Inputs:
         self.spark, self.directory = spark, directory
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.directory, name)
+        rows = table(self.spark, self.directory, name)
+        return spread(rows) if name in ("documents", "pages", "conversations", "events") else rows
 
 
 def query(name: str, sql: str | None = None):

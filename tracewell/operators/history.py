@@ -65,9 +65,9 @@ def limited_requests(events: DataFrame, window_seconds: int = 60, limit: int = 6
 
     ``events(key, ts, event_id)``; result adds ``allowed`` and ``retry_after``.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     width = window_seconds * 1_000_000
-    rows = events.select("key", "event_id", "ts", micros.alias("_us")).withColumn(
+    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), micros.alias("_us")).withColumn(
         "_slot", F.floor(F.col("_us") / F.lit(width)).cast("bigint"))
     per_slot = rows.groupBy("key", "_slot").agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     order = Window.partitionBy("key").orderBy("_slot")

@@ -124,6 +124,12 @@ def get_record(records: DataFrame, record_id) -> DataFrame:
     return records.filter(F.col("record_id") == record_id)
 
 
+def lookup_records(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """A record for every request; a null ``record_id`` where the library has none."""
+    found = records.withColumn("_known", F.col("record_id"))
+    return requests.join(found, "record_id", "left").withColumn("record_id", F.col("_known")).drop("_known")
+
+
 def usable_citation(s: Column) -> Column:
     """A linked, described citation of a specific web page without credentials."""
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))

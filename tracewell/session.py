@@ -50,6 +50,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Use all cores for a table that is kept in fewer files than there are cores.
+
+    Parsing text costs far more than moving it once.  A table of many files, the usual case
+    on a cluster, is left as it is: its files are its partitions.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -50,7 +50,7 @@ class Limiter(StatefulProcessor):
 
 def limited_stream(events: DataFrame, window_seconds: int = 60, limit: int = 60) -> DataFrame:
     """Admit or reject a stream of ``(key, ts, event_id)``; needs the RocksDB state store."""
-    rows = events.select("key", "event_id", F.unix_micros("ts").alias("us"))
+    rows = events.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     key_type = events.schema["key"].dataType.simpleString()
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=Limiter(window_seconds, limit),
