@@ -105,3 +105,17 @@ def test_activity_stream_equals_batch(spark, tmp_path):
            .trigger(availableNow=True).start())
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("activity").collect())) == sorted(map(tuple, history.activity(events).collect()))
+
+
+def test_limiter_stream_equals_brute_force(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = some_events()
+    frame = spark.createDataFrame(events, "key string, ts timestamp, event_id long")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    run = (jobs.limited_stream(stream, 60, 4).writeStream.outputMode("append").format("memory").queryName("limited")
+           .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    got = {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()}
+    assert got == brute_limiter(events, dt.timedelta(seconds=60), 4)
