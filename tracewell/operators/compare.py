@@ -15,7 +15,7 @@ from tracewell.functions.dates import instant_of
 from tracewell.functions.fields import relationship_type
 from tracewell.functions.patterns import found
 from tracewell.functions.text import (
-    compare_key, compare_terms, keyed_dice, let, round3, semantically_equal,
+    compare_key, compare_terms, keyed_dice, let, round3,
 )
 from tracewell.operators.evidence import unique_evidence
 from tracewell.operators.ranking import best_row
@@ -24,6 +24,33 @@ from tracewell.operators.versions import best_versions, occurrence_versions, rea
 EVIDENCE = "array<struct<source_id: string, passage_id: string, exact_text: string, role: string>>"
 
 
+_COMPARED = ("causal_language", "location", "quoted_speaker", "caption_context")
+
+
+def prepared_fields() -> dict[str, Column]:
+    """What comparing two versions needs of each: keys and terms, made once per version."""
+    out = {}
+    for name in _COMPARED:
+        out[f"{name}_key"], out[f"{name}_terms"] = compare_key(F.col(name)), compare_terms(F.col(name))
+    # Attribution is presentation, not a qualifier of the claim.
+    meaningful = F.filter("qualifiers", lambda x: ~found(x, r"^according to\s+"))
+    out["meant"] = F.transform(meaningful, lambda x: F.struct(
+        x.alias("label"), compare_key(x).alias("key"), compare_terms(x).alias("terms")))
+    return out
+
+
+_PREPARED = [f"{n}_{part}" for n in _COMPARED for part in ("key", "terms")] + ["meant"]
+
+
+def _alike(a_key: Column, a_terms: Column, b_key: Column, b_terms: Column) -> Column:
+    return (a_key == b_key) | (keyed_dice(a_key, a_terms, b_key, b_terms) >= K.EQUAL_DICE)
+
+
+def same_field(name: str) -> Column:
+    """The field of ``l`` and ``r`` means the same; null when either is missing."""
+    return _alike(*[F.col(f"{side}.{name}_{part}") for side in "lr" for part in ("key", "terms")])
+
+
 def passage_for(passages: Column, version_passage: Column, evidence_ids: Column) -> Column:
     """The version's own passage, else the first one among its evidence, else null."""
     own = F.get(F.filter(passages, lambda p: p["passage_id"] == version_passage), F.lit(0))
@@ -51,6 +78,7 @@ def bound_versions(versions: DataFrame, snaps: DataFrame) -> DataFrame:
             "published_ts": instant_of(F.col("published_at")),
             "proposition_key": compare_key(proposition), "proposition_terms": compare_terms(proposition),
             "event_key": compare_key(happening), "event_terms": compare_terms(happening),
+            **prepared_fields(),
         })
     )
     order = Window.partitionBy("claim_id").orderBy(F.asc_nulls_last("published_ts"), F.asc("source_id"))
@@ -61,7 +89,7 @@ _VERSION_SIDE = (
     "source_id normalized_proposition quoted_speaker claim_type event_date location causal_language certainty "
     "caption_context qualifiers confidence passage published_ts proposition_key proposition_terms event_key "
     "event_terms date_confidence"
-).split()
+).split() + _PREPARED
 
 
 def pairs(bound: DataFrame) -> DataFrame:
@@ -183,18 +211,18 @@ def change_list(confidence: Column) -> Column:
         ))
 
     none = F.lit(None)
-    meaningful = lambda q: F.filter(q, lambda x: ~found(x, r"^according to\s+"))
-    missing_from = lambda a, b: F.filter(
-        meaningful(a), lambda x: ~F.exists(meaningful(b), lambda y: semantically_equal(x, y)))
-    removed = missing_from(left("qualifiers"), right("qualifiers"))
-    added = missing_from(right("qualifiers"), left("qualifiers"))
+    missing_from = lambda a, b: F.transform(
+        F.filter(a, lambda x: ~F.exists(b, lambda y: _alike(x["key"], x["terms"], y["key"], y["terms"]))),
+        lambda x: x["label"])
+    removed = missing_from(left("meant"), right("meant"))
+    added = missing_from(right("meant"), left("meant"))
     cause_l, cause_r = left("causal_language"), right("causal_language")
-    cause_differs = cause_l.isNotNull() & cause_r.isNotNull() & ~semantically_equal(cause_l, cause_r)
+    cause_differs = cause_l.isNotNull() & cause_r.isNotNull() & ~same_field("causal_language")
     both_quoted = (
         (left("claim_type") == "quotation") & (right("claim_type") == "quotation")
         & left("quoted_speaker").isNotNull() & right("quoted_speaker").isNotNull()
     )
-    same_speaker = semantically_equal(left("quoted_speaker"), right("quoted_speaker"))
+    same_speaker = same_field("quoted_speaker")
     ranks = F.create_map(*[F.lit(v) for pair in K.CERTAINTY_RANK.items() for v in pair])
     rank = lambda side: F.try_element_at(ranks, side("certainty"))
     same_media = F.col("relationship.type") == "same_media"
@@ -213,14 +241,14 @@ def change_list(confidence: Column) -> Column:
         change(left("event_date") != right("event_date"), "date_changed",
                left("event_date"), right("event_date"), confidence * 0.96),
         change(left("location").isNotNull() & right("location").isNotNull()
-               & ~semantically_equal(left("location"), right("location")), "location_changed",
+               & ~same_field("location"), "location_changed",
                left("location"), right("location"), confidence * 0.92),
         change(rank(right) > rank(left), "certainty_strengthened", left("certainty"), right("certainty"), confidence),
         change(rank(right) < rank(left), "certainty_weakened", left("certainty"), right("certainty"), confidence),
         change(both_quoted & same_speaker & (F.col("_prop") >= 0.35) & (F.col("_prop") < 0.78), "quotation_changed",
                left("normalized_proposition"), right("normalized_proposition"), confidence * 0.9),
         change(same_media & left("caption_context").isNotNull() & right("caption_context").isNotNull()
-               & ~semantically_equal(left("caption_context"), right("caption_context")), "caption_changed",
+               & ~same_field("caption_context"), "caption_changed",
                left("caption_context"), right("caption_context"), bounded),
         change(same_media & (F.col("relationship.status") != "insufficient_evidence")
                & (left("event_date") < right("event_date")), "old_media_reused",
@@ -351,11 +379,11 @@ def supplied_relationship() -> Column:
 
 def compare_occurrences(bound: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Compare each claim's latest version with its submitted occurrence."""
-    fields = occurrence_versions(occurrences).select("claim_id", F.struct(
+    fields = occurrence_versions(occurrences).withColumns(prepared_fields()).select("claim_id", F.struct(
         "source_id", "normalized_proposition", "quoted_speaker", "claim_type", "event_date", "location",
         "causal_language", "certainty", "caption_context", "qualifiers", "confidence",
         compare_key(F.col("normalized_proposition")).alias("proposition_key"),
-        compare_terms(F.col("normalized_proposition")).alias("proposition_terms"),
+        compare_terms(F.col("normalized_proposition")).alias("proposition_terms"), *_PREPARED,
     ).alias("r"))
     latest = latest_versions(bound).select("claim_id", F.struct(*_VERSION_SIDE, "passages").alias("l"))
     own = F.get(F.filter("evidence", lambda e: e["role"] == "occurrence"), F.lit(0))["passage_id"]
