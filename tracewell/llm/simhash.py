@@ -97,7 +97,8 @@ def masks(radius: int = RADIUS, seed: int = 20240229) -> list[int]:
 def _near(members: np.ndarray, radius: int) -> np.ndarray:
     """For each member of a small bucket the smallest one it is connected to inside the bucket."""
     root = np.arange(len(members))
-    close = np.bitwise_count(members[:, None] ^ members[None, :]) <= radius
+    bits = members.view(np.uint64)  # the count of a signed number is that of its absolute value
+    close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     while True:
         new = np.where(close, root[None, :], len(members)).min(1)
         if (new == root).all():
