@@ -10,6 +10,7 @@ from tracewell.catalog.registry import query
 from tracewell.functions import pages as P
 from tracewell.functions import text as T
 from tracewell.operators import discovery, matching
+from tracewell.operators.ranking import top_k
 
 # ---------------------------------------------------------------- inputs
 
@@ -335,20 +336,20 @@ def d23(t):
 
 # ---------------------------------------------------------------- vectors
 
-def _library_vectors(t) -> DataFrame:
-    """Each label's earliest vectors (by id) stand for its record's wordings."""
-    from tracewell.operators.ranking import top_k
+def _vector_queries(t) -> DataFrame:
+    """Every vector whose id is divisible by 20 is asked for, against all vectors."""
+    return t.embeddings.filter(F.col("vec_id") % 20 == 0)
+
 
-    first = top_k(t.embeddings, ["label"], [F.asc("vec_id")], 3, "n")
-    return first.select(F.col("label").cast("bigint").alias("record_id"), "embedding")
+def _library_vectors(t) -> DataFrame:
+    """All vectors of a label stand for its record's wordings."""
+    return t.embeddings.select(F.col("label").cast("bigint").alias("record_id"), "embedding")
 
 
 _VECTORS = """
-targets AS MATERIALIZED (SELECT label::BIGINT AS record_id, embedding::DOUBLE[] AS v FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 3),
 semantic AS MATERIALIZED (
-  SELECT vec_id AS claim_id, record_id, max(list_cosine_similarity(embedding::DOUBLE[], v)) AS semantic
-  FROM embeddings, targets GROUP BY ALL)
+  SELECT q.vec_id AS claim_id, v.label::BIGINT AS record_id, max(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS semantic
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 GROUP BY ALL)
 """
 
 
@@ -356,20 +357,28 @@ semantic AS MATERIALIZED (
 SELECT claim_id, record_id, {S.round3('semantic')} AS confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY semantic DESC, record_id) AS n FROM semantic) WHERE n <= 4""")
 def c03(t):
-    vectors = t.embeddings.select(F.col("vec_id").alias("claim_id"), "embedding")
+    vectors = _vector_queries(t).select(F.col("vec_id").alias("claim_id"), "embedding")
     best = matching.vector_scores(vectors, _library_vectors(t), k=4)
     return best.select("claim_id", "record_id", T.round3(F.col("semantic")).alias("confidence"))
 
 
 @query("c02_hybrid_scores", f"""WITH {_VECTORS},
-lex AS (SELECT vec_id AS claim_id, label::BIGINT AS record_id, (vec_id % 97) / 97e0 AS lexical, vec_id % 10 = 0 AS conflict FROM embeddings)
-SELECT claim_id, record_id, {S.round3("CASE WHEN coalesce(conflict, false) THEN 0e0 ELSE 0.65e0 * coalesce(semantic, 0e0) + 0.35e0 * coalesce(lexical, 0e0) END")} AS score,
-  coalesce(conflict, false) AS conflict
-FROM lex FULL JOIN semantic USING (claim_id, record_id)""")
+lex AS (SELECT vec_id AS claim_id, label::BIGINT AS record_id, (vec_id % 97) / 97e0 AS lexical, vec_id % 10 = 0 AS conflict FROM embeddings WHERE vec_id % 20 = 0),
+both_ AS (SELECT claim_id, record_id, CASE WHEN coalesce(conflict, false) THEN 0e0 ELSE 0.65e0 * coalesce(semantic, 0e0) + 0.35e0 * coalesce(lexical, 0e0) END AS score,
+  coalesce(conflict, false) AS conflict FROM lex FULL JOIN semantic USING (claim_id, record_id))
+SELECT claim_id, record_id, {S.round3("score")} AS score, conflict FROM (
+  SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, record_id) AS n FROM both_) WHERE n <= 4""")
 def c02(t):
-    vectors = t.embeddings.select(F.col("vec_id").alias("claim_id"), "embedding")
-    lexical = t.embeddings.select(
-        F.col("vec_id").alias("claim_id"), F.col("label").cast("bigint").alias("record_id"),
+    """The best four records per claim under both layers.
+
+    Pairs with a lexical score are asked for by name; among all others the semantic score alone ranks, so the
+    best four of them are among the best four plus as many as a claim has lexical pairs (one, here).
+    """
+    label = F.col("label").cast("bigint")
+    vectors = _vector_queries(t).select(F.col("vec_id").alias("claim_id"), "embedding", F.array(label).alias("also"))
+    lexical = _vector_queries(t).select(
+        F.col("vec_id").alias("claim_id"), label.alias("record_id"),
         ((F.col("vec_id") % 97) / F.lit(97.0)).alias("lexical"), (F.col("vec_id") % 10 == 0).alias("conflict"))
-    both = matching.hybrid_scores(lexical, matching.vector_scores(vectors, _library_vectors(t)))
-    return both.select("claim_id", "record_id", T.round3(F.col("score")).alias("score"), "conflict")
+    both = matching.hybrid_scores(lexical, matching.vector_scores(vectors, _library_vectors(t), k=5))
+    best = top_k(both, ["claim_id"], [F.desc("score"), F.asc("record_id")], 4)
+    return best.select("claim_id", "record_id", T.round3(F.col("score")).alias("score"), "conflict")

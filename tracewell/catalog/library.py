@@ -154,10 +154,11 @@ def c12(t):
 
 @query("c13_messenger_wording", f"""WITH openers(verdict, opener) AS (VALUES {', '.join(f"({S.text(a)}, {S.text(b)})" for a, b in K.VERDICT_OPENERS)})
 SELECT event_id AS claim_id, item_id::VARCHAR AS record_id, opener || {S.text(K.MESSENGER_BRIDGE)} || 'event ' || item_id AS explanation
-FROM events JOIN benchmark ON item_id = event_id % 40 JOIN openers ON verdict = {S.strings(_VERDICTS)}[item_id % 4 + 1]""")
+FROM events JOIN benchmark ON item_id = event_id % (SELECT count(*) FROM benchmark) JOIN openers ON verdict = {S.strings(_VERDICTS)}[item_id % 4 + 1]""")
 def c13(t):
-    """Every event is a traced claim of one of the first forty records."""
-    traced = t.events.select(F.col("event_id").alias("claim_id"), (F.col("event_id") % 40).cast("string").alias("record_id"))
+    """Every event is a traced claim of one of the records, all of which are used."""
+    count = t.benchmark.select(F.count(F.lit(1))).scalar()
+    traced = t.events.select(F.col("event_id").alias("claim_id"), (F.col("event_id") % count).cast("string").alias("record_id"))
     return records.messenger_explanations(traced, loaded(t))
 
 

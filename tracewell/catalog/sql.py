@@ -184,15 +184,16 @@ lines AS (SELECT {key}, i AS line_no, {strip('l')} AS line FROM (
   SELECT {key}, unnest(string_split_regex({body}, '\\n+')) AS l, generate_subscripts(string_split_regex({body}, '\\n+'), 1) AS i FROM {source})),
 kept AS (SELECT * FROM lines WHERE length(line) >= 40),
 parts AS (
-  SELECT {key}, line_no, 1 AS part, line AS passage FROM kept WHERE length(line) <= 1200
+  SELECT {key}, line_no, 1 AS part, 0 AS piece, line AS passage FROM kept WHERE length(line) <= 1200
   UNION ALL
-  SELECT {key}, line_no, part, p[:1200] FROM (
+  SELECT {key}, line_no, part, piece, p[piece * 1200 + 1:piece * 1200 + 1200] FROM (
+    SELECT *, unnest(range(0, (length(p) - 1) // 1200 + 1)) AS piece FROM (
     SELECT {key}, line_no, {strip('s')} AS p, part FROM (
       SELECT {key}, line_no, unnest(ss) AS s, generate_subscripts(ss, 1) AS part FROM (
         SELECT {key}, line_no, string_split(regexp_replace(line, '([.!?]){SPACE}+', '\\1' || chr(10), 'g'), chr(10)) AS ss
-        FROM kept WHERE length(line) > 1200))) WHERE length(p) >= 40),
+        FROM kept WHERE length(line) > 1200))) WHERE length(p) >= 40)),
 passages AS MATERIALIZED (
-  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY line_no, part) - 1 AS ord, passage FROM parts)
+  SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY line_no, part, piece) - 1 AS ord, passage FROM parts)
 """
 
 

@@ -768,7 +768,7 @@ said AS (SELECT conv_id || '-' || turn AS claim_id, text,
 
 
 @query("a06_build_occurrences", f"""WITH {_SUBMITTED},
-k AS (SELECT *, left({S.squeeze("regexp_replace(text, '[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0b" + chr(92) + "x0c" + chr(92) + "x0e-" + chr(92) + "x1f" + chr(92) + "x7f]', ' ', 'g')")}, 5000) AS line,
+k AS (SELECT *, {S.squeeze("regexp_replace(text, '[" + chr(92) + "x00-" + chr(92) + "x08" + chr(92) + "x0b" + chr(92) + "x0c" + chr(92) + "x0e-" + chr(92) + "x1f" + chr(92) + "x7f]', ' ', 'g')")} AS line,
   CASE WHEN url IS NOT NULL THEN 'supplied_url' WHEN post IS NOT NULL AND name IS NOT NULL THEN 'source_post'
     WHEN seen IS NOT NULL AND (name IS NOT NULL OR post IS NOT NULL) THEN 'source_metadata' END AS evidence_type FROM said)
 SELECT claim_id, evidence_type, url AS source_url, coalesce(post, name) AS source_identifier, seen AS observed_at, length(line) AS size,

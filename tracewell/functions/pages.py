@@ -216,8 +216,12 @@ def _children(values: Column) -> Column:
     return F.flatten(F.filter(nested, lambda a: a.isNotNull()))
 
 
-def json_ld_objects(html: Column, depth: int = 4) -> Column:
-    """JSON-LD objects in breadth-first order, down to ``depth`` nested lists or graphs."""
+def json_ld_objects(html: Column) -> Column:
+    """JSON-LD objects in breadth-first order, at any depth of nested lists and graphs.
+
+    Every level of nesting has a ``[`` of its own, so a page needs at most as many steps as
+    its blocks have such characters.
+    """
     pattern = rf"(?i)<script(?![A-Za-z0-9_])([^>]*)>({_ANY}*?)</script{SPACE}*>"
     blocks = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(pattern), 1).alias("head"),
@@ -235,11 +239,13 @@ def json_ld_objects(html: Column, depth: int = 4) -> Column:
         ),
         lambda v: v.isNotNull(),
     )
-    state = let(level, lambda v: F.struct(v.alias("level"), _objects(v).alias("found")))
-    for _ in range(depth):
-        state = let(state, lambda s: let(_children(s["level"]), lambda v: F.struct(
-            v.alias("level"), F.concat(s["found"], _objects(v)).alias("found"))))
-    return state["found"]
+    steps = F.array_max(F.concat(F.array(F.lit(0)), F.transform(wanted, lambda b: F.regexp_count(b["body"], F.lit(r"\[")))))
+    first = let(level, lambda v: F.struct(v.alias("level"), _objects(v).alias("found")))
+    return F.aggregate(
+        F.slice(F.sequence(F.lit(0), steps), F.lit(2), steps), first,
+        lambda s, _: F.when(F.size(s["level"]) == 0, s).otherwise(let(_children(s["level"]), lambda v: F.struct(
+            v.alias("level"), F.concat(s["found"], _objects(v)).alias("found")))),
+        lambda s: s["found"])
 
 
 def _scalar_text(value: Column) -> Column:
@@ -443,8 +449,8 @@ def extraction_confidence(status: Column, size: Column, dated: Column, canonical
 # ---------------------------------------------------------------- passages
 
 def passage_candidates(text: Column) -> Column:
-    """Lines of at least 40 characters; over-long lines by sentence.  Passages are excerpts
-    of at most 1,200 characters."""
+    """Lines of at least 40 characters; over-long lines by sentence, and over-long sentences
+    in consecutive pieces.  Passages have at most 1,200 characters; nothing is left out."""
     lines = F.filter(
         F.transform(F.split(text, "\n+"), strip_space), lambda l: F.length(l) >= K.MIN_LINE_CHARACTERS
     )
@@ -453,7 +459,10 @@ def passage_candidates(text: Column) -> Column:
         long_enough = F.filter(
             F.transform(sentences(line), strip_space), lambda s: F.length(s) >= K.MIN_LINE_CHARACTERS
         )
-        cut = F.transform(long_enough, lambda s: F.substring(s, 1, K.MAX_PASSAGE_CHARACTERS))
+        size = K.MAX_PASSAGE_CHARACTERS
+        cut = F.flatten(F.transform(long_enough, lambda s: F.transform(
+            F.sequence(F.lit(0), F.floor((F.length(s) - 1) / F.lit(size)).cast("int")),
+            lambda i: F.substring(s, i * size + 1, F.lit(size)))))
         return F.when(F.length(line) <= K.MAX_PASSAGE_CHARACTERS, F.array(line)).otherwise(cut)
 
     return F.flatten(F.transform(lines, parts))

@@ -112,18 +112,24 @@ def edges(comparisons: DataFrame, mutations: DataFrame, node_table: DataFrame) -
     )
 
 
-def reachable(edge_table: DataFrame, seeds: DataFrame, backward: bool = True, rounds: int = 1000) -> DataFrame:
+def reachable(edge_table: DataFrame, seeds: DataFrame, backward: bool = True) -> DataFrame:
     """All nodes connected to the seeds along directed edges, all graphs at once.
 
     ``edge_table(graph_id, source, target)``, ``seeds(graph_id, node)``; result adds ``hop``.
     Each round joins only the last frontier, drops nodes already seen, and is checkpointed,
     so neither the plan nor the recomputation after a lost executor grows with the depth.
+    It ends when a round finds nothing new, at any depth.  Links lie in the partitioning of
+    that join, so that a round moves only its frontier.
     """
     near, far = ("target", "source") if backward else ("source", "target")
-    links = cut(edge_table.select("graph_id", F.col(near).alias("node"), F.col(far).alias("_next")).distinct())
+    links = cut(
+        edge_table.select("graph_id", F.col(near).alias("node"), F.col(far).alias("_next")).distinct()
+        .repartition("graph_id", "node"))
     frontier = cut(seeds.select("graph_id", "node").distinct().withColumn("hop", F.lit(0)))
     seen = frontier
-    for hop in range(1, rounds + 1):
+    hop = 0
+    while not frontier.isEmpty():
+        hop += 1
         step = (
             links.join(frontier.select("graph_id", "node"), ["graph_id", "node"])
             .select("graph_id", F.col("_next").alias("node")).distinct()
@@ -131,8 +137,6 @@ def reachable(edge_table: DataFrame, seeds: DataFrame, backward: bool = True, ro
             .withColumn("hop", F.lit(hop))
         )
         frontier = cut(step)
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
         if hop % 8 == 0:
             seen = cut(seen)
@@ -213,7 +217,7 @@ def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     )
 
 
-def levels(node_table: DataFrame, edge_table: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Longest-path level of every node, all graphs at once.
 
     ``node_table(graph_id, node)``, ``edge_table(graph_id, source, target)``.  A node's level
@@ -223,8 +227,9 @@ def levels(node_table: DataFrame, edge_table: DataFrame, rounds: int = 1000) ->
     links = cut(edge_table.select("graph_id", "source", "target").distinct())
     sizes = node_table.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_size"))
     state = cut(node_table.select("graph_id", "node").distinct().join(sizes, "graph_id").withColumn("level", F.lit(0)))
-    active = state
-    for number in range(1, rounds + 1):
+    active, number = state, 0
+    while not active.isEmpty():
+        number += 1
         raised = (
             links.join(active.select("graph_id", F.col("node").alias("source"), "level"), ["graph_id", "source"])
             .groupBy("graph_id", F.col("target").alias("node")).agg((F.max("level") + 1).alias("_new"))
@@ -237,8 +242,6 @@ def levels(node_table: DataFrame, edge_table: DataFrame, rounds: int = 1000) ->
             .drop("_new")
         )
         active = state.filter("_moved")
-        if active.isEmpty():
-            break
     return state.select("graph_id", "node", F.col("level").cast("bigint").alias("level"))
 
 

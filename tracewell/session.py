@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # parsing text costs far more than opening a file: smaller splits keep all cores at work
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
 #: Settings a session must be built with.  Recording the Python call site of every column
 #: costs more than building the column.
@@ -26,9 +27,10 @@ STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session, where they differ."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -40,6 +42,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "tracew
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
+        .config("spark.sql.files.minPartitionNum", "8")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
@@ -50,28 +54,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Use all cores for a table that is kept in fewer files than there are cores.
-
-    Parsing text costs far more than moving it once.  A table of many files, the usual case
-    on a cluster, is left as it is: its files are its partitions.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session (tests, benchmarks) may fall back to a folder of its own.
-    """
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
+        # a local session has one machine; its warehouse is the folder that it names itself
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

@@ -12,14 +12,14 @@ from tracewell.functions.text import clean, let, squeeze
 from tracewell.functions.urls import has_credentials, normal_url
 
 
-def bounded_text(text: Column, limit: int) -> Column:
-    """One line of bounded length; blank becomes null."""
-    return F.nullif(F.substring(squeeze(F.regexp_replace(text, SOFT_CONTROL, " ")), 1, limit), F.lit(""))
+def one_line(text: Column) -> Column:
+    """The whole text on one line; blank becomes null."""
+    return F.nullif(squeeze(F.regexp_replace(text, SOFT_CONTROL, " ")), F.lit(""))
 
 
 def occurrence_url(url: Column) -> Column:
     """The normalized URL, null unless it is http(s) without credentials."""
-    text = bounded_text(url, 2048)
+    text = one_line(url)
     return F.when(~has_credentials(text), normal_url(text))
 
 
@@ -47,17 +47,17 @@ def build_occurrences(claims: DataFrame) -> DataFrame:
     """
     rows = claims.select(
         "claim_id",
-        bounded_text(F.col("claim"), 5000).alias("claim"),
-        bounded_text(F.col("raw_text"), 5000).alias("_raw"),
+        one_line(F.col("claim")).alias("claim"),
+        one_line(F.col("raw_text")).alias("_raw"),
         F.when(F.col("image_id").isNull(), occurrence_url(F.col("source_url"))).alias("_url"),
-        bounded_text(F.col("source_name"), 300).alias("_name"),
-        bounded_text(F.col("source_post_id"), 500).alias("_post"),
-        F.date_format(bounded_text(F.col("observed_at"), 100).try_cast("timestamp"), ISO_INSTANT).alias("_seen"),
-        bounded_text(F.col("exact_quote"), 5000).alias("_quote"),
-        bounded_text(F.col("context"), 5000).alias("_context"),
+        one_line(F.col("source_name")).alias("_name"),
+        one_line(F.col("source_post_id")).alias("_post"),
+        F.date_format(one_line(F.col("observed_at")).try_cast("timestamp"), ISO_INSTANT).alias("_seen"),
+        one_line(F.col("exact_quote")).alias("_quote"),
+        one_line(F.col("context")).alias("_context"),
         F.col("image_id").alias("_image"), F.col("image_sha256").alias("_sha"),
-        bounded_text(F.col("image_text"), 5000).alias("_ocr"),
-        bounded_text(F.col("image_filename"), 500).alias("_file"),
+        one_line(F.col("image_text")).alias("_ocr"),
+        one_line(F.col("image_filename")).alias("_file"),
     ).filter(F.col("claim").isNotNull())
     image = F.col("_image").isNotNull()
     kind = F.when(image, "screenshot").otherwise(evidence_type(
@@ -81,7 +81,7 @@ def build_occurrences(claims: DataFrame) -> DataFrame:
     )
     evidence = F.struct(
         F.col("occurrence_id").alias("source_id"), passage.alias("passage_id"),
-        F.substring(shown, 1, 8000).alias("exact_text"), F.lit("occurrence").alias("role"),
+        shown.alias("exact_text"), F.lit("occurrence").alias("role"),
     )
     ids = F.when(image, F.array("_image", F.concat("_image", F.lit(":ocr")), passage)).otherwise(F.array(passage))
     confidence = F.when(image, 1.0).when(
