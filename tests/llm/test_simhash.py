@@ -9,7 +9,7 @@ from tracewell.llm.components import components
 
 from .helpers import SCHEMA, counted, documents, odd_rows, sentence, words_of
 
-LAST = 1 << 62
+LAST = 1 << 64
 
 
 def plain_fingerprint(text):

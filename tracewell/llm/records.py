@@ -68,11 +68,11 @@ def frame(payload: bytes) -> bytes:
 def unframe(data: bytes, at: int, where: str) -> tuple[bytes, int]:
     """The payload of the record at an offset, checked, and the offset behind it."""
     length = data[at:at + 8]
-    if len(length) < 8 or struct.unpack_from("<I", data, at + 8)[0] != masked(length):
+    if len(data) < at + 12 or struct.unpack_from("<I", data, at + 8)[0] != masked(length):
         raise ValueError(f"{where}: damaged length at byte {at}")
     size = struct.unpack("<Q", length)[0]
     payload = data[at + 12:at + 12 + size]
-    if len(payload) < size or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(payload):
+    if len(data) < at + 16 + size or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(payload):
         raise ValueError(f"{where}: damaged record at byte {at}")
     return payload, at + 16 + size
 
