@@ -30,10 +30,14 @@ def records(t) -> DataFrame:
 
 
 CLAIMS = f"claims AS MATERIALIZED (SELECT doc_id AS claim_id, {S.extract_claim('text')} AS claim FROM documents)"
-LIBRARY = f"""
+
+
+def library_sql(aliases: bool = True) -> str:
+    """The library's wordings, their terms and weights."""
+    more = f" UNION ALL SELECT item_id, 1, {S.extract_claim('text')} FROM benchmark" if aliases else ""
+    return f"""
 library AS MATERIALIZED (
-  SELECT item_id AS record_id, 0 AS text_no, text FROM benchmark
-  UNION ALL SELECT item_id, 1, {S.extract_claim('text')} FROM benchmark),
+  SELECT item_id AS record_id, 0 AS text_no, text FROM benchmark{more}),
 library_terms AS MATERIALIZED (
   SELECT record_id, text_no, unnest({S.match_terms('text')}) AS term FROM library),
 weights AS MATERIALIZED (
@@ -42,6 +46,9 @@ weights AS MATERIALIZED (
 w AS MATERIALIZED (SELECT term, df, idf, floor(idf * idf * 1e9 + 0.5e0)::BIGINT AS w2 FROM weights),
 unseen AS (SELECT floor(power(ln(((SELECT count(*) FROM library) + 1e0) / 0.5e0), 2) * 1e9 + 0.5e0)::BIGINT AS w2)
 """
+
+
+LIBRARY = library_sql()
 SCORES = f"""{CLAIMS}, {LIBRARY},
 claim_terms AS MATERIALIZED (SELECT claim_id, unnest({S.match_terms('claim')}) AS term FROM claims),
 claim_norm AS (SELECT claim_id, sum(coalesce(w.w2, unseen.w2))::BIGINT AS norm

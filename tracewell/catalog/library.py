@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
+from tracewell.catalog import lexical
 from tracewell.catalog import sql as S
 from tracewell.catalog.registry import query
 from tracewell.functions import text as T
@@ -339,7 +340,13 @@ def j01_aligned(t):
         F.count(F.lit(1)).alias("requests"), F.least(F.count(F.lit(1)), F.lit(3)).alias("allowed"))
 
 
-@query("j03_claim_stream")
+# the library of the stream has no aliases, and its claims are the turns of conversations
+_STREAM = lexical.TOP.replace(lexical.CLAIMS, f"""
+claims AS MATERIALIZED (SELECT conv_id || '-' || turn AS claim_id, {S.extract_claim('text')} AS claim FROM conversations)""").replace(
+    lexical.LIBRARY, lexical.library_sql(aliases=False))
+
+
+@query("j03_claim_stream", f"WITH {_STREAM} SELECT claim_id, record_id, confidence, 'lexical' AS strategy FROM matches")
 def j03(t):
     """Conversations as a stream of claims, matched to the library and appended to a table."""
     return jobs.match_conversations(t.spark, t.directory)

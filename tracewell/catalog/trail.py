@@ -748,7 +748,31 @@ def d19(t):
     return rollup.trace_status(d["claims"], d["graph"], *_known(d)).select("claim_id", "live_status", "known_status", "trace_status")
 
 
-@query("d21_findings")
+_FINDINGS = f"""{_STAGES},
+r AS (SELECT s.claim_id, s.status AS graph, CASE WHEN s.status = 'established' THEN 2 WHEN s.established_transitions > 0 THEN 1 ELSE 0 END AS live,
+  CASE WHEN s.claim_id % 8 <> 0 THEN 0 WHEN s.claim_id % 16 = 0 THEN 2 ELSE 1 END AS known, s.claim_id % 4 = 0 AND s.claim_id % 8 <> 0 AS illustrative FROM summary s),
+acq AS (SELECT claim_id, count(*) AS sources, count(*) FILTER (status = 'acquired') AS acquired, count(*) FILTER (status = 'partial') AS partial_ FROM snaps GROUP BY claim_id),
+nv AS (SELECT claim_id, count(*) AS n FROM versions GROUP BY claim_id),
+nc AS (SELECT claim_id, count(*) AS n FROM cmp GROUP BY claim_id),
+nm AS (SELECT claim_id, count(*) AS n, count(*) FILTER (status = 'established') AS firm FROM mutations GROUP BY claim_id),
+gaps AS (SELECT claim_id, list(stage_id || ':' || status ORDER BY list_position({S.strings(K.KNOWN_STAGE_IDS)}, stage_id)) AS g FROM stages
+  WHERE stage_id IN {S.members(K.KNOWN_STAGE_IDS)} AND status <> 'established' GROUP BY claim_id),
+f AS (SELECT r.*, NOT illustrative AND known = 0 AS neither, w.search, acq.sources, acq.acquired, acq.partial_, coalesce(nv.n, 0) AS nv, coalesce(nc.n, 0) AS nc,
+  coalesce(nm.n, 0) AS nm, coalesce(nm.firm, 0) AS firm, coalesce(gaps.g, []) AS g
+  FROM r JOIN wide w USING (claim_id) LEFT JOIN acq USING (claim_id) LEFT JOIN nv USING (claim_id) LEFT JOIN nc USING (claim_id) LEFT JOIN nm USING (claim_id) LEFT JOIN gaps USING (claim_id))
+SELECT claim_id, ['UNTRACED', 'PARTIALLY_TRACED', 'TRACED'][greatest(live, known) + 1] AS trace_status,
+  coalesce(array_to_string([CASE WHEN known = 2 THEN 'known_record:traced' WHEN known = 1 THEN 'known_record:partial' WHEN illustrative THEN 'known_record:illustrative' END,
+    CASE WHEN search = 'searched' THEN 'search:' || coalesce(sources, 0) || ':' || coalesce(acquired, 0) || ':' || coalesce(partial_, 0) END,
+    CASE WHEN nv > 0 THEN 'versions:' || nv END, CASE WHEN nc > 0 THEN 'comparisons:' || nc END,
+    CASE WHEN nm > 0 THEN 'mutations:' || nm || ':' || firm END, CASE WHEN graph = 'established' THEN 'graph:established' END], '|'), '') AS found,
+  coalesce(array_to_string(list_concat([CASE WHEN illustrative THEN 'known_record:verified' WHEN neither THEN 'known_record:none' END,
+    CASE search WHEN 'failed' THEN 'search:failed' WHEN 'not_configured' THEN 'search:not_configured' END], g), '|'), '') AS not_found,
+  coalesce(array_to_string([CASE WHEN known = 1 THEN 'known_record:incomplete_path' WHEN illustrative THEN 'known_record:illustrative' WHEN neither THEN 'absence_is_not_falsity' END,
+    CASE WHEN graph = 'candidate' THEN 'graph:candidate' END, CASE WHEN search = 'failed' THEN 'search:failed' END], '|'), '') AS uncertain
+FROM f"""
+
+
+@query("d21_findings", f"WITH {_FINDINGS}")
 def d21(t):
     d = _everything(t)
     status = rollup.trace_status(d["claims"], d["graph"], *_known(d))
