@@ -108,7 +108,7 @@ def fetched(t) -> DataFrame:
 
 
 def acquired(t) -> DataFrame:
-    return evidence.acquire(selected(t).join(claims(t), "claim_id"), fetched(t))
+    return evidence.acquire(selected(t).join(claims(t), "claim_id"), evidence.page_facts(fetched(t), AS_OF))
 
 
 def snapshots(t) -> DataFrame:
@@ -384,9 +384,9 @@ SELECT page_id, CASE WHEN page_id % 6 = 3 THEN '2023-0' || (page_id % 9 + 1) ||
   [0.96e0, 0.96e0, 0.9e0, 0.91e0, 0.84e0, 0.74e0][page_id % 6 + 1] AS confidence,
   ['json_ld', 'json_ld', 'json_ld', 'opengraph', 'html_metadata', 'article_metadata'][page_id % 6 + 1] AS date_source FROM pages""")
 def b15(t):
-    rows = evidence.with_page_metadata(
-        _marked(t).withColumns({"final_url": F.col("url"), "published_date": F.lit("2020-01-01")}), AS_OF)
-    best = rows.select("page_id", F.get("_dates", F.lit(0)).alias("_d"))
+    rows = evidence.page_facts(_marked(t).withColumns({
+        "final_url": F.col("url"), "acquisition_status": F.lit("acquired"), "acquisition_error": F.lit(None).cast("string")}), AS_OF, ("page_id",))
+    best = rows.select("page_id", F.get("_said_dates", F.lit(0)).alias("_d"))
     return best.select(
         "page_id", F.col("_d.value").alias("published"), F.col("_d.type").alias("date_type"),
         F.col("_d.confidence").alias("confidence"), F.col("_d.source").alias("date_source"))
@@ -424,7 +424,7 @@ def b20(t):
 
 @query("c04_acquire_sources", f"WITH {_SNAP_HEAD} SELECT claim_id, url, status AS acquisition_status, length(html) AS html_size FROM joined")
 def c04(t):
-    return acquired(t).select("claim_id", "url", "acquisition_status", F.length(F.coalesce("html", F.lit(""))).cast("bigint").alias("html_size"))
+    return acquired(t).select("claim_id", "url", "acquisition_status", "html_size")
 
 
 @query("b21_snapshots", f"""WITH {_SNAP_HEAD}

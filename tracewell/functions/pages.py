@@ -380,8 +380,8 @@ def time_elements(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)<time(?![A-Za-z0-9_])"), F.transform(read, judged))
 
 
-def date_candidates(text: Column, entries: Column, json: dict, times: Column, provider: Column) -> Column:
-    """Three candidate lists, best first: published, modified, search provider."""
+def page_dates(text: Column, entries: Column, json: dict, times: Column) -> Column:
+    """Two candidate lists of what a page says, best first: published, modified."""
     c = K.DATE_CONFIDENCE
     none = F.array().cast(f"array<{_CANDIDATE}>")
     from_times = lambda field, kind: F.coalesce(F.transform(
@@ -411,10 +411,13 @@ def date_candidates(text: Column, entries: Column, json: dict, times: Column, pr
         ),
         from_times("modified", "modified"),
     )
-    # A provider's date is an index date, never evidence of publication.
-    indexed = F.array(_candidate(provider, "crawl_index", c["provider"],
-                                 "search-provider date (not publication evidence)", "provider"))
-    return F.array(published, modified, indexed)
+    return F.array(published, modified)
+
+
+def provider_dates(provider: Column) -> Column:
+    """One candidate list; a provider's date is an index date, never evidence of publication."""
+    return F.array(F.array(_candidate(
+        provider, "crawl_index", K.DATE_CONFIDENCE["provider"], "search-provider date (not publication evidence)", "provider")))
 
 
 # ---------------------------------------------------------------- classification

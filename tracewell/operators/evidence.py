@@ -18,28 +18,16 @@ from tracewell.functions.urls import domain, url_key
 PASSAGE = "struct<passage_id: string, text: string, kind: string, relevance: double>"
 
 
-def acquire(selected: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Attach the classified fetch to every selected source; sources without one stay.
+def page_facts(fetched: DataFrame, as_of: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per fetched page: its outcome, its text, and what it says about itself; and columns to ``keep``.
 
-    The page table is joined on the URL as selected; a URL shared by many claims is one
-    row there, so a hot page only skews the (small) selected side, which AQE splits.
-    """
-    pages = fetched.select(
-        "url", "final_url", "html", "acquisition_status", "acquisition_error"
-    )
-    return selected.join(pages, "url", "left").withColumn(
-        "acquisition_status", F.coalesce("acquisition_status", F.lit("not_attempted"))
-    )
-
-
-def with_page_metadata(frame: DataFrame, as_of: int) -> DataFrame:
-    """Add what a page says about itself; one projection per step so nothing is parsed twice.
-
-    ``published_date`` is the search provider's date, used only as an index date.
+    A page is parsed where it is read, once, however many claims found it; its HTML goes no further than
+    this.  One projection per step, so that nothing is parsed twice.
     """
     html = F.col("html")
+    usable = F.col("acquisition_status").isin(*K.ACQUIRED_STATUSES)
     json = {k: F.get("_json", F.lit(i)) for i, k in enumerate(P.JSON_KEYS)}
-    rows = frame.withColumns({
+    rows = fetched.withColumn("html", F.coalesce("html", F.lit(""))).withColumns({
         "_base": F.coalesce("final_url", "url"),
         "_entries": P.meta_entries(html),
         "_article": F.when(html.contains("ld+json"), P.article_object(P.json_ld_objects(html))),
@@ -51,39 +39,53 @@ def with_page_metadata(frame: DataFrame, as_of: int) -> DataFrame:
         "_canonical": P.canonical_url(html, F.col("_base")),
         "_article_like": F.col("_article").isNotNull() | html.rlike(r"(?i)<article(?![A-Za-z0-9_])"),
     })
-    dates = P.first_dates(P.date_candidates(
-        F.col("_readable"), F.col("_entries"), json, F.col("_times"), F.col("published_date")), as_of)
-    return rows.withColumns({
-        "_meta_title": F.coalesce(
-            json["headline"], json["name"], P.first_meta(F.col("_entries"), K.META_TITLE), F.col("_html_title")),
-        "_meta_publisher": F.coalesce(json["publisher"], P.first_meta(F.col("_entries"), K.META_PUBLISHER)),
-        "_meta_author": F.coalesce(json["author"], json["creator"], P.first_meta(F.col("_entries"), K.META_AUTHOR)),
-        "_dates": dates,
+    return rows.select(
+        *keep, "url", "final_url", "acquisition_status", "acquisition_error", F.length(html).cast("bigint").alias("html_size"),
+        F.when(usable, F.col("_readable")).otherwise("").alias("text"), "_canonical", "_article_like",
+        F.coalesce(
+            json["headline"], json["name"], P.first_meta(F.col("_entries"), K.META_TITLE), F.col("_html_title")).alias("_meta_title"),
+        F.coalesce(json["publisher"], P.first_meta(F.col("_entries"), K.META_PUBLISHER)).alias("_meta_publisher"),
+        F.coalesce(json["author"], json["creator"], P.first_meta(F.col("_entries"), K.META_AUTHOR)).alias("_meta_author"),
+        P.first_dates(P.page_dates(F.col("_readable"), F.col("_entries"), json, F.col("_times")), as_of).alias("_said_dates"),
+    )
+
+
+def acquire(selected: DataFrame, pages: DataFrame) -> DataFrame:
+    """Attach the page facts to every selected source; sources without a page stay.
+
+    A URL shared by many claims is one row of the page table, so a hot page only skews the
+    (small) selected side, which AQE splits.
+    """
+    return selected.join(pages, "url", "left").withColumns({
+        "acquisition_status": F.coalesce("acquisition_status", F.lit("not_attempted")),
+        "html_size": F.coalesce("html_size", F.lit(0)), "text": F.coalesce("text", F.lit("")),
+        "_article_like": F.coalesce("_article_like", F.lit(False)),
     })
 
 
 def snapshots(acquired: DataFrame, as_of: int) -> DataFrame:
     """One evidence snapshot per selected source.
 
-    Needs ``claim_id, claim, idx`` and the hit and fetch columns.  Search snippets never
+    Needs ``claim_id, claim, idx``, the hit columns and the page facts; only relevance and passages depend on
+    the claim.  ``published_date`` is the search provider's, used only as an index date.  Search snippets never
     become passages; a page that was not acquired has neither text nor passages.
     """
     usable = F.col("acquisition_status").isin(*K.ACQUIRED_STATUSES)
-    rows = with_page_metadata(acquired.withColumn("html", F.coalesce("html", F.lit(""))), as_of)
     label = lambda c, n: F.substring(clean_lines(c), 1, n)
     text_size = F.length("text")
     empty = F.array().cast(f"array<{PASSAGE}>")
+    said = lambda i: F.get("_said_dates", F.lit(i))
     rows = (
-        rows.withColumns({
-            "text": F.when(usable, F.col("_readable")).otherwise(""),
+        acquired.withColumns({
             "_identity": F.coalesce("_canonical", "final_url", "url"),
             "title": F.coalesce(label(F.col("_meta_title"), 300), F.col("title")),
             "publisher": F.coalesce(label(F.col("_meta_publisher"), 200), F.col("publisher")),
             "author": label(F.col("_meta_author"), 200),
-            "_published": F.get("_dates", F.lit(0)),
-            "_modified": F.get("_dates", F.lit(1)),
-            "_date": F.get(F.array_compact("_dates"), F.lit(0)),
+            "_published": said(0),
+            "_modified": said(1),
+            "_indexed": F.get(P.first_dates(P.provider_dates(F.col("published_date")), as_of), F.lit(0)),
         })
+        .withColumn("_date", F.coalesce("_published", "_modified", "_indexed"))
         .withColumns({
             "source_id": P.source_id(F.col("_identity")),
             "domain": domain(F.col("_identity"), F.col("domain")),
