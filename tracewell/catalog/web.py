@@ -257,10 +257,13 @@ def a03(t):
 
 
 @query("a11_search_evidence_ids", f"""WITH {_HITS}
-SELECT claim_id, query_ord, hit_ord, 'search:web:' || coalesce(provider_result_id, sha256(url)[:24]) AS evidence_id FROM hits""")
+SELECT claim_id, query_ord, hit_ord, 'search:web:' || coalesce(provider_result_id, sha256(url)[:24]) AS evidence_id,
+  'submission:text:' || sha256(claim)[:24] AS claim_evidence_id FROM hits JOIN claims USING (claim_id)""")
 def a11(t):
-    return discovery.search_evidence_ids(hits(t), "web").select(
+    leads = discovery.search_evidence_ids(hits(t), "web").select(
         "claim_id", F.col("query_ord").cast("bigint"), F.col("hit_ord").cast("bigint"), "evidence_id")
+    told = claims(t).select("claim_id", discovery.claim_evidence_id(F.col("claim")).alias("claim_evidence_id"))
+    return leads.join(told, "claim_id")
 
 
 @query("d03_merge_hits", f"""WITH {_MERGED}
@@ -362,16 +365,19 @@ def b13(t):
 
 
 @query("b14_evidence_dates", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 9 IN (3, 5) THEN strftime(o_orderdate, '%Y-%m-%dT08:30:00.000Z')
-  WHEN o_orderkey % 9 = 4 THEN strftime(o_orderdate, '%Y-%m-%dT06:30:00.000Z') END AS normalized FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 15 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 15 IN (3, 5, 9, 10, 11, 12) THEN strftime(o_orderdate, '%Y-%m-%dT08:30:00.000Z')
+  WHEN o_orderkey % 15 = 4 THEN strftime(o_orderdate, '%Y-%m-%dT06:30:00.000Z') WHEN o_orderkey % 15 IN (13, 14) THEN strftime(o_orderdate, '%Y-%m-%dT08:30:07.000Z') END AS normalized FROM orders""")
 def b14(t):
-    """Order dates in nine spellings, three of them unusable."""
-    kind = F.col("o_orderkey") % 9
+    """Order dates in fifteen spellings, three of them unusable."""
+    kind = F.col("o_orderkey") % 15
     shown = lambda f: F.date_format("o_orderdate", f)
     raw = (
         F.when(kind == 0, shown("yyyy-MM-dd")).when(kind == 1, shown("MMMM d, yyyy")).when(kind == 2, shown("d MMMM yyyy"))
         .when(kind == 3, shown("yyyy-MM-dd'T08:30:00Z'")).when(kind == 4, shown("yyyy-MM-dd'T08:30:00+02:00'"))
         .when(kind == 5, shown("yyyy-MM-dd' 08:30'")).when(kind == 6, shown("MMMM yyyy")).when(kind == 7, "3 hours ago")
+        .when(kind == 9, shown("MMM d, yyyy' 08:30'")).when(kind == 10, shown("MMMM d, yyyy' 08:30'"))
+        .when(kind == 11, shown("d MMMM yyyy' 08:30'")).when(kind == 12, shown("EEE, d MMM yyyy' 08:30 UTC'"))
+        .when(kind == 13, shown("MMMM d, yyyy' 08:30:07'")).when(kind == 14, shown("d MMM yyyy' 08:30:07 +0000'"))
         .otherwise(F.concat(shown("yyyy"), F.lit("-02-30"))))
     rows = t.orders.select("o_orderkey", raw.alias("raw"))
     return rows.select("o_orderkey", D.normalize_evidence_date(F.col("raw"), AS_OF).alias("normalized"))

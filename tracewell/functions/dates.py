@@ -54,6 +54,10 @@ def normalize_evidence_date(raw: Column, as_of: int) -> Column:
 def _parsed(value: Column) -> Column:
     # A clock without an offset counts as UTC, which is the session time zone.
     bare = F.regexp_replace(value, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    # one spelling for all: day before month, three letters of the month, seconds
+    bare = F.regexp_replace(bare, r"^([A-Z][a-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4}),?\s+", "$2 $1 $3 ")
+    bare = F.regexp_replace(bare, r"^(\d{1,2})\s+([A-Z][a-z]{2})[a-z]*\.?\s+(\d{4}),?\s+", "$1 $2 $3 ")
+    bare = F.regexp_replace(bare, r"(\s\d{2}:\d{2})(?![:\d])", "$1:00")
     spelled = let(bare, lambda text: F.coalesce(
         F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss z")),
         F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")),

@@ -6,7 +6,7 @@ Hits per claim are few by construction (at most three queries of at most ten hit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import constants as K
@@ -106,6 +106,12 @@ def select_sources(
     )
 
 
+def claim_evidence_id(claim: Column, image_id: Column | None = None) -> Column:
+    """Stable evidence id of a submission: its image's, else a hash of the claim's text."""
+    told = F.concat(F.lit("submission:text:"), F.substring(F.sha2(claim.cast("binary"), 256), 1, 24))
+    return told if image_id is None else F.coalesce(image_id, told)
+
+
 def search_evidence_ids(hits: DataFrame, provider: str) -> DataFrame:
     """Stable evidence id of a search lead: the provider's id, else a hash of the URL."""
     fallback = F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 24)
