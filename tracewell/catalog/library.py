@@ -11,6 +11,7 @@ from tracewell.catalog import sql as S
 from tracewell.catalog.registry import query
 from tracewell.functions import text as T
 from tracewell.operators import graph, history, records
+from tracewell.session import new_folder
 from tracewell.sources import images
 from tracewell.streaming import jobs
 
@@ -70,6 +71,13 @@ def loaded(t) -> DataFrame:
     return records.load_records(authored(t))
 
 
+def from_files(t) -> DataFrame:
+    """The records after a way through record files."""
+    folder = new_folder(t.spark, "records")
+    authored(t).write.json(folder)
+    return records.load_records(records.read_records(t.spark, folder))
+
+
 def _hop_type(i: str) -> str:
     return f"CASE WHEN {i} = 0 THEN 'original_event' ELSE {S.strings(_HOPS)}[(item_id + {i}) % 6 + 1] END"
 
@@ -89,7 +97,7 @@ SELECT item_id::VARCHAR AS record_id, i AS hop, 'hop ' || i || ' of ' || item_id
   CASE i WHEN 1 THEN 'event ' || item_id WHEN 2 THEN 'hop 1 of ' || item_id WHEN 3 THEN 'hop 2 of ' || item_id ELSE CASE WHEN item_id % 7 <> 0 THEN 'hop 3 of ' || item_id END END AS previously,
   ['linked', 'organisation_only', 'unavailable', 'linked'][(item_id + i - 1) % 4 + 1] AS availability FROM benchmark, h""")
 def a01(t):
-    rows = loaded(t).select("record_id", F.explode("hops").alias("_h"))
+    rows = from_files(t).select("record_id", F.explode("hops").alias("_h"))
     return rows.select(
         "record_id", F.col("_h.hop").cast("bigint").alias("hop"), "_h.now", "_h.previously",
         F.get("_h.sources", F.lit(0))["availability"].alias("availability"))
@@ -277,7 +285,12 @@ def analyses(t) -> DataFrame:
 
 @query("a07_history_rows", "SELECT event_id AS analysis_id, user_id FROM events WHERE event_type <> 'signup' AND user_id IS NOT NULL")
 def a07(t):
-    return history.saveable(analyses(t)).select("analysis_id", "user_id")
+    """Two appends to a stored history, read back."""
+    folder = new_folder(t.spark, "history")
+    rows = analyses(t)
+    history.append_history(rows.filter(F.col("analysis_id") % 2 == 0), folder)
+    history.append_history(rows.filter(F.col("analysis_id") % 2 == 1), folder)
+    return t.spark.read.parquet(folder).select("analysis_id", "user_id")
 
 
 @query("e12_history_list", """SELECT event_id AS analysis_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position

@@ -13,6 +13,7 @@ from tracewell.functions import pages as P
 from tracewell.functions import text as T
 from tracewell.functions import urls as U
 from tracewell.operators import discovery, evidence
+from tracewell.session import new_folder
 from tracewell.sources import fetched as fetched_source
 from tracewell.sources import hits as hits_source
 
@@ -253,7 +254,11 @@ def b08(t):
 
 @query("a03_ingest_hits", f"WITH {_HITS} SELECT claim_id, query_ord, hit_ord, query, title, url, description, publisher, published_date, provider_result_id, provider_score, domain FROM hits")
 def a03(t):
-    return hits(t).withColumns({c: F.col(c).cast("bigint") for c in ("query_ord", "hit_ord")})
+    """Responses stored as JSON, one object per query, read back and normalized."""
+    folder = new_folder(t.spark, "responses")
+    responses(t).write.json(folder)
+    read = hits_source.normalize_hits(hits_source.explode_results(hits_source.read_search_results(t.spark, folder)), per_query=10)
+    return read.withColumns({c: F.col(c).cast("bigint") for c in ("claim_id", "query_ord", "hit_ord")})
 
 
 @query("a11_search_evidence_ids", f"""WITH {_HITS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own for one run, inside the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialize a frame in the shared checkpoint folder and forget how it was made."""
     shared_folder(frame.sparkSession)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.text import extract_claim
 from tracewell.operators import matching
-from tracewell.session import shared_folder, table
+from tracewell.session import new_folder, table
 
 
 def activity_stream(events: DataFrame) -> DataFrame:
@@ -77,7 +75,7 @@ def match_stream(claims: DataFrame, records: DataFrame, target: str, checkpoint:
 
 def match_conversations(spark: SparkSession, directory: str) -> DataFrame:
     """Conversation turns as a file stream, worked off once; the result is the written table."""
-    folder = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "claims")
     turns = table(spark, directory, "conversations")
     stream = spark.readStream.schema(turns.schema).option("pathGlobFilter", "conversations.parquet").parquet(directory)
     claims = stream.select(F.concat_ws("-", "conv_id", "turn").alias("claim_id"), extract_claim(F.col("text")).alias("claim"))
