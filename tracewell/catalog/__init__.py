@@ -4,7 +4,7 @@ import importlib
 
 from tracewell.catalog.registry import ORACLES, QUERIES
 
-_LANES = ("lexical", "web", "trail", "library")
+_LANES = ("lexical", "web", "trail", "library", "results")
 
 for _lane in _LANES:
     importlib.import_module(f"tracewell.catalog.{_lane}")
