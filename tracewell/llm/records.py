@@ -17,7 +17,7 @@ text.  A task writes to a name of its own and renames it when complete, so a tas
 leaves the same files.  Files are reached through their URI, local or remote.
 
 The tokenizer's words are separated by white space, so a text's ids are those of its white-space separated
-words in a row; each word is encoded by the tokenizer once and remembered in a table of at most ``REMEMBERED`` words.  A
+words in a row; a word is encoded by the tokenizer once and remembered in a table of at most ``REMEMBERED`` words.  A
 text in which the name of a special token occurs is encoded whole.
 
 Defined results: a null or empty text is a record with the end id alone; a null id is written as ``NO_ID`` and
@@ -32,6 +32,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,15 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 NO_ID = (1 << 63) - 1
 MASK = 0xA282EAD8
-#: Words whose ids a task remembers; beyond, the table starts anew.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a worker remembers; beyond, a table starts anew.
+REMEMBERED = 700_000
 #: Words encoded in one call.
-ENCODED = 4096
+ENCODED = 1024
 #: Bytes that a writer gathers before it appends them.
 BUFFER = 4 << 20
-_SPACES = re.compile(r"[\t-\r ]+")
+#: A word of Latin letters, all of which have a simple lower case, and signs that can not begin a contraction.
+_WHOLE = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+").fullmatch
+_LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def masked(data: bytes) -> int:
@@ -84,7 +87,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Texts to bytes of little-endian ids, with the end id."""
+    """Texts to bytes of little-endian ids, with the end id.
+
+    Words are known at two levels: as they stand, and by their parts.  A word of Latin letters with other signs
+    behind it is lower-cased and cut in two, as the tokenizer itself does, so that capitals and punctuation need
+    no calls of their own.  Both tables are bounded, and live as long as the worker process.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -93,27 +101,79 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([END], self.kind).tobytes()
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.end = self._bytes([END])
+        # ids of tokens that end a word, where the vocabulary marks them
+        self.ending = np.zeros(self.model.get_vocab_size(), bool)
+        self.ending[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of unknown words into the table."""
+        cut = []
+        for word in words:
+            text = word.decode()
+            match = _LATIN(text)
+            cut.append((match[1].lower(), match[2]) if match else (text, ""))
+        new = list({p for both in cut for p in both if p and p not in self.parts})
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.parts.clear()
+            new = list({p for both in cut for p in both if p})
+        whole = [p for p in new if _WHOLE(p)]
+        for some in (whole, [p for p in new if not _WHOLE(p)]):
+            for at in range(0, len(some), ENCODED):
+                self._encode(some[at:at + ENCODED], some is whole)
+        self.parts[""] = b""
+        for word, (head, tail) in zip(words, cut):
+            self.known[word] = self.parts[head] + self.parts[tail]
+
+    def _encode(self, parts: list[str], whole: bool) -> None:
+        """Encode parts; ``whole`` ones are one word each to the tokenizer and go in one text, whose ids are cut
+        behind those that end a word."""
+        if whole:
+            ids = np.array(self.model.encode(" ".join(parts), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(parts) == len(ends) and ends[-1] == len(ids):
+                raw, size, begin = ids.tobytes(), self.kind.itemsize, 0
+                for part, end in zip(parts, (ends * size).tolist()):
+                    self.parts[part] = raw[begin:end]
+                    begin = end
+                return
+        for part, out in zip(parts, self.model.encode_batch_fast(parts, add_special_tokens=False)):
+            self.parts[part] = self._bytes(out.ids)
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if any(s in t for s in self.special) else _SPACES.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        for text, parts in zip(texts, split):
-            if parts is None:
+        for text in texts:
+            if any(s in text for s in self.special):
                 yield self._bytes(self.model.encode(text, add_special_tokens=False).ids) + self.end
                 continue
-            new = [w for w in set(parts) if w not in known]
-            for at in range(0, len(new), ENCODED):
-                some = new[at:at + ENCODED]
-                for word, out in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                    known[word] = self._bytes(out.ids)
-            yield b"".join([known[w] for w in parts]) + self.end
+            out = []
+            for words in self._runs(text.encode()):
+                new = set(words).difference(self.known)
+                if len(self.known) + len(new) > REMEMBERED:
+                    self.known.clear()
+                    new = set(words)
+                if new:
+                    self._learn(list(new))
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            yield b"".join(out) + self.end
+
+    @staticmethod
+    def _runs(raw: bytes) -> Iterator[list[bytes]]:
+        """The words of a text, separated by ASCII white space, at most ``REMEMBERED`` / 2 at once."""
+        words = raw.split()
+        step = max(REMEMBERED // 2, 1)
+        for at in range(0, len(words), step):
+            yield words[at:at + step]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder; what it knows serves all tasks of the process."""
+    return Encoder(path)
 
 
 def _files(folder: str):
@@ -132,7 +192,7 @@ def _writer(folder: str, path: str):
         files.create_dir(base, recursive=True)
         name = f"{base}/part-{part:08d}"
         own = f"{name}.{context.taskAttemptId()}"
-        encoder, offsets, tokens, at, total = Encoder(path), [], [], 0, 0
+        encoder, offsets, tokens, at, total = encoder_of(path), [], [], 0, 0
         stream = None
         for batch in batches:
             if stream is None:
@@ -206,9 +266,8 @@ def _read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (np.diff(index[first:last + 1, 1]) != counts).any():
                         raise ValueError(f"{name}: the index and the records disagree")
                     yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([row["part"]] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64()),
-                        "before": pa.array(index[first:last, 1]), "n_tokens": pa.array(counts, pa.int64()),
-                        "ids_crc32": pa.array(crcs, pa.int64())})
+                        "doc_id": pa.array(ids, pa.int64()), "start": pa.array(index[first:last, 1] + row["begin"]),
+                        "n_tokens": pa.array(counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
                     first = last
 
 
@@ -218,12 +277,11 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     Tokens of earlier parts are summed over the manifest, which has one row per part file.
     """
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = manifest.select("part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("begin"))
-    parts = manifest.repartition("part").select("part", "records", "width", "folder")
-    read = parts.mapInArrow(_read_part, "part long, doc_id long, before long, n_tokens long, ids_crc32 long")
-    return read.join(begins, "part").select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
-        (F.col("begin") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    parts = manifest.select("part", "records", "width", "folder", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("begin"))
+    # one task for each part file: the rows of the manifest are small, the files are not
+    dealt = parts.repartition(max(manifest.count(), 1), "part")
+    read = dealt.mapInArrow(_read_part, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def read_record(folder: str, part: int, number: int, width: int = 2) -> tuple[int, np.ndarray]:
