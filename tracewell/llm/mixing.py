@@ -1,6 +1,7 @@
 """Mixing sources to target weights, in built-in functions only.
 
-Words are summed per source (map-side first, so that a hot source costs one row per task).  The sources,
+Words are summed per source (map-side first, so that a hot source costs one row per task) and written: the table of
+targets then has a known size, by which Spark decides whether it is broadcast, and documents need not move.  The sources,
 in code point order and null last, weigh 5, 2, 1, 5, 2, 1, ...; a source's target is its share of all words,
 at most ``MOST_REPEATS`` times its own words, and what it cannot take goes to the others by weight.  With the
 sources ordered by cap / weight, the common level is the largest of (words left) / (weights left), so no loop
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import WORD, free_name
+from tracewell.llm.tables import WORD, free_name, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -60,8 +61,8 @@ def chance(identity: Column, seed: str) -> Column:
 
 def plan(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sizes.select("source", "size"), weights, repeats).select(
+    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    targets = written(source_targets(sizes.select("source", "size"), weights, repeats), "targets").select(
         F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
     whole = F.floor(rate)
@@ -77,7 +78,7 @@ def emit(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, repeats: int = MOST
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     size, target, rate = (free_name(docs, n) for n in ("mix_size", "mix_target", "mix_rate"))
     source = free_name(docs, "mix_source")
-    targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, repeats).select(
+    targets = written(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, repeats), "targets").select(
         F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target))
     whole = F.floor(rate)
     copies = (whole + F.when(chance(F.col("doc_id"), seed) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
