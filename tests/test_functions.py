@@ -77,3 +77,27 @@ def test_barriers(spark):
 def test_caption_contexts_agree(spark):
     got = column(spark, ["A real photograph of it", "An authentic photo of it"], fields.caption_context)
     assert got[0] == got[1] == "Presented as a genuine photograph"
+
+
+def test_long_sentences_become_consecutive_passages(spark):
+    sentence = "word " * 700 + "end."
+    line = "A first sentence that is long enough to be kept as it is. " + sentence
+    got = spark.createDataFrame([(line,)], "t string").select(pages.passage_candidates(F.col("t")).alias("p")).first().p
+    assert got[0].startswith("A first sentence") and "".join(got[1:]) == sentence
+    assert max(map(len, got)) <= 1200 and len(got) == 4
+
+
+def test_json_ld_at_any_depth(spark):
+    inner = '{"@type": "NewsArticle", "headline": "deep"}'
+    for depth in range(7):
+        inner = f'{{"@graph": [{inner}]}}' if depth % 2 else f"[{inner}]"
+    html = f'<script type="application/ld+json">{inner}</script>'
+    objects = spark.createDataFrame([(html,), ("<p>none</p>",), (None,)], "h string").select(
+        F.transform(pages.json_ld_objects(F.col("h")), lambda o: F.try_variant_get(o, "$.headline", "string")).alias("o")).collect()
+    assert [x for x in objects[0].o if x] == ["deep"] and not objects[1].o and not objects[2].o
+
+
+def test_evidence_dates_with_a_clock(spark):
+    spelled = ["Mar 3, 2024 08:30", "March 3, 2024 08:30", "3 March 2024, 08:30", "Sun, 3 Mar 2024 08:30:00 +0000", "March 3rd, 2024 08:30", "3 Mar 2024 08:30 UTC"]
+    got = spark.createDataFrame([(s,) for s in spelled], "s string").select(dates.normalize_evidence_date(F.col("s"), 2026).alias("d")).collect()
+    assert [r.d for r in got] == ["2024-03-03T08:30:00.000Z"] * 6

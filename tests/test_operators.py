@@ -119,3 +119,19 @@ def test_limiter_stream_equals_brute_force(spark, tmp_path):
     run.awaitTermination()
     got = {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()}
     assert got == brute_limiter(events, dt.timedelta(seconds=60), 4)
+
+
+def test_an_investigation_of_given_pages(spark):
+    """From hits and pages to one row per claim, all on the given text."""
+    from tracewell.catalog import QUERIES
+
+    rows = QUERIES["results"](spark, "/root/testdata/sf0.001").collect()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    assert sorted(r.claim_id for r in rows) == list(range((pages + 9) // 10))
+    for r in rows:
+        assert [s.stage_id for s in r.stages] == [
+            "claim_extracted", "live_search", "source_discovery", "earliest_source", "context_comparison", "mutation_detection",
+            "origin_assessment", "lineage"]
+        assert r.trace_status in ("UNTRACED", "PARTIALLY_TRACED", "TRACED") and len(r.candidates) <= 4
+        assert [c.confidence for c in r.candidates] == sorted((c.confidence for c in r.candidates), reverse=True)
+    assert any(f.startswith("comparisons:") for r in rows for f in r.found)
