@@ -473,7 +473,7 @@ def e04(t):
         "claim_id", "source_id", F.col("rank").cast("bigint"), F.round("relevance", 6).alias("relevance"))
 
 
-@query("d15_mean_relevance", f"WITH {_RANKED_SNAPS} SELECT claim_id, round(avg(relevance), 6) AS mean_relevance, count(*) AS sources FROM ranked_snaps WHERE place <= 5 GROUP BY claim_id")
+@query("d15_mean_relevance", f"WITH {_RANKED_SNAPS} SELECT claim_id, round(sum(round(relevance * 1e6)::BIGINT)::DOUBLE / (count(*) * 1e6), 6) AS mean_relevance, count(*) AS sources FROM ranked_snaps WHERE place <= 5 GROUP BY claim_id")
 def d15(t):
     return evidence.mean_relevance(evidence.rank_snapshots(snapshots(t))).select(
         "claim_id", F.round("mean_relevance", 6).alias("mean_relevance"), "sources")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions.text import clamp, discovery_queries, text_relevance
 from tracewell.functions.urls import url_key
-from tracewell.operators.ranking import best_row, top_k
+from tracewell.operators.ranking import best_row, in_range, top_k
 
 
 def query_table(claims: DataFrame, claim: str = "claim") -> DataFrame:
@@ -88,14 +88,14 @@ def deduplicate_hits(scored: DataFrame) -> DataFrame:
 def rank_hits(scored: DataFrame, limit: int = K.HITS_TOTAL) -> DataFrame:
     """Distinct pages of a claim, best first, at most ``limit`` (20 at most)."""
     order = [F.desc("retrieval_relevance"), F.asc("idx"), F.asc("key")]
-    return top_k(deduplicate_hits(scored), ["claim_id"], order, min(limit, K.HITS_TOTAL_MAX))
+    return top_k(deduplicate_hits(scored), ["claim_id"], order, in_range("limit", limit, K.HITS_TOTAL_MAX))
 
 
 def select_sources(
     ranked: DataFrame, limit: int = K.ACQUISITION_LIMIT, per_domain: int = K.SOURCES_PER_DOMAIN
 ) -> DataFrame:
     """Pages to acquire: at most two per domain in rank order, then the first ``limit``."""
-    bounded = max(1, min(K.ACQUISITION_LIMIT_MAX, limit))
+    bounded = in_range("limit", limit, K.ACQUISITION_LIMIT_MAX)
     varied = top_k(
         ranked.withColumn("_domain", F.lower("domain")), ["claim_id", "_domain"], [F.asc("rank")],
         per_domain, "_in_domain",

@@ -169,8 +169,9 @@ def rank_snapshots(snaps: DataFrame) -> DataFrame:
 
 def mean_relevance(ranked: DataFrame, strongest: int = 5) -> DataFrame:
     """Mean relevance of a claim's strongest sources."""
+    micro = F.sum(F.round(F.col("relevance") * F.lit(1e6)).cast("bigint"))  # exact in any order
     return ranked.filter(F.col("rank") <= strongest).groupBy("claim_id").agg(
-        F.avg("relevance").alias("mean_relevance"), F.count(F.lit(1)).alias("sources")
+        (micro / (F.count(F.lit(1)) * F.lit(1e6))).alias("mean_relevance"), F.count(F.lit(1)).alias("sources")
     )
 
 

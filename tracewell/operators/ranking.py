@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def in_range(name: str, value: int, most: int, least: int = 1) -> int:
+    """The parameter itself; a value out of range is an error, never changed silently."""
+    if not least <= value <= most:
+        raise ValueError(f"{name} must lie between {least} and {most}, not {value}")
+    return value
+
+
 def top_k(frame: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key.
 

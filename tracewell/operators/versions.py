@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions import fields
 from tracewell.functions.text import clamp, clean, dice, let, round3, version_terms
-from tracewell.operators.ranking import best_row, top_k
+from tracewell.operators.ranking import best_row, in_range, top_k
 
 EVIDENCE = "struct<source_id: string, passage_id: string, exact_text: string, role: string>"
 VERSION_COLUMNS = (
@@ -87,7 +87,7 @@ def aid_candidates(snaps: DataFrame, claims: DataFrame, versions: DataFrame, sou
     unresolved = snaps.filter(readable_source()).join(
         versions.select("claim_id", "source_id"), ["claim_id", "source_id"], "left_anti"
     )
-    first = top_k(unresolved, ["claim_id"], [F.asc("idx")], max(1, min(10, sources)), "_n").drop("_n")
+    first = top_k(unresolved, ["claim_id"], [F.asc("idx")], in_range("sources", sources, 10), "_n").drop("_n")
     near = lambda p: (p["kind"].isin("claim", "context", "provenance")) & (p["overlap"] >= 0.16) & (
         (p["relevance"] >= 0.32) | (p["overlap"] >= 0.22))
     scored = F.filter(_scored_passages(F.col("passages"), version_terms(F.col("_claim"))), near)
@@ -127,8 +127,9 @@ def best_versions(versions: DataFrame, grounded: bool = True) -> DataFrame:
     if grounded:
         rows = rows.filter(F.array_contains("evidence_ids", F.col("evidence_passage_id")))
     if "version_ord" not in rows.columns:
-        rows = rows.withColumn("version_ord", F.col("version_id"))
-        return best_row(rows, ["claim_id", "source_id"], F.struct("confidence", "version_ord")).drop("version_ord")
+        names = [c for c in rows.columns if c not in ("claim_id", "source_id")]
+        first = F.min_by(F.struct(*names), F.struct(-F.col("confidence"), F.col("version_id"))).alias("_first")
+        return rows.groupBy("claim_id", "source_id").agg(first).select("claim_id", "source_id", "_first.*")
     return best_row(rows, ["claim_id", "source_id"], F.struct(F.col("confidence"), -F.col("version_ord")))
 
 

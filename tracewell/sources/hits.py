@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell import constants as K
 from tracewell.functions.text import clean_label
 from tracewell.functions.urls import domain, normal_url
-from tracewell.operators.ranking import top_k
+from tracewell.operators.ranking import in_range, top_k
 
 _BRAVE = (
     "web struct<results: array<struct<title: string, url: string, description: string, age: string, "
@@ -57,6 +57,6 @@ def normalize_hits(raw: DataFrame, per_query: int = K.HITS_PER_QUERY) -> DataFra
         F.when(~F.isnan("provider_score"), F.col("provider_score")).alias("provider_score"),
     ).filter(F.col("title").isNotNull() & F.col("url").isNotNull())
     kept = top_k(
-        cleaned, ["claim_id", "query_ord"], [F.asc("hit_ord")], min(per_query, K.HITS_PER_QUERY_MAX), "_n"
+        cleaned, ["claim_id", "query_ord"], [F.asc("hit_ord")], in_range("per_query", per_query, K.HITS_PER_QUERY_MAX), "_n"
     )
     return kept.drop("_n").withColumn("domain", domain(F.col("url")))
