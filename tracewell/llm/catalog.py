@@ -134,9 +134,15 @@ levels AS (
   FROM weighed WINDOW filled AS (ORDER BY ({mixing.MOST_REPEATS} * source_size)::DOUBLE / weight, rank)),
 targets AS (SELECT source, source_size, least(({mixing.MOST_REPEATS} * source_size)::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
 rates AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0 END AS rate,
-         ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rates
+  SELECT doc_id, size, sizes.source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0 END AS rate
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source),
+draws AS (
+  SELECT *, (size * (floor(rate)::BIGINT + CASE WHEN
+    ('0x' || md5('{mixing.SEED}:' || k || ':' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE / 4503599627370496.0 < rate - floor(rate)
+    THEN 1 ELSE 0 END))::BIGINT AS taken FROM rates, range({mixing.DRAWS}) AS t(k)),
+chosen AS (
+  SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken)::BIGINT - max(target)), k) AS n
+    FROM draws GROUP BY source, k) WHERE n = 1)
+SELECT doc_id, size, source_size, target, taken FROM draws JOIN chosen ON draws.k = chosen.k AND draws.source IS NOT DISTINCT FROM chosen.source
 """,
 }

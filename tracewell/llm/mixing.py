@@ -5,8 +5,8 @@ targets then has a known size, by which Spark decides whether it is broadcast, a
 in code point order and null last, weigh 5, 2, 1, 5, 2, 1, ...; a source's target is its share of all words,
 at most ``MOST_REPEATS`` times its own words, and what it cannot take goes to the others by weight.  With the
 sources ordered by cap / weight, the common level is the largest of (words left) / (weights left), so no loop
-is needed.  A document is then emitted floor(rate) times, plus once more if a number made from the seed and
-its id falls below the fraction; no state and no order is involved, so reruns agree.
+is needed.  A document is then emitted floor(rate) times, plus once more if a number made from its source's seed
+and its id falls below the fraction; no state and no order is involved, so reruns agree.
 
 Defined results: a null text has no words; null is a source like any other; a source without words has the
 target 0, and its documents are emitted once, adding no words; rows that repeat an id get the same number of
@@ -23,6 +23,8 @@ from tracewell.llm.tables import WORD, free_name, written
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
+#: Seeds that every source tries.
+DRAWS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -53,40 +55,59 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = MOST_REPEAT
     )
 
 
-def chance(identity: Column, seed: str) -> Column:
+def chance(identity: Column, seed: Column) -> Column:
     """A number in [0, 1) with 52 random bits, made from the seed and an id."""
-    digits = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(identity.cast("string"), F.lit(""))))
+    digits = F.md5(F.concat(seed, F.lit(":"), F.coalesce(identity.cast("string"), F.lit(""))))
     return F.conv(F.substring(digits, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
+def _copies(identity: Column, rate: Column, seed: Column) -> Column:
+    """floor(rate), plus one with the probability of the fraction."""
+    whole = F.floor(rate)
+    return (whole + F.when(chance(identity, seed) < rate - whole, 1).otherwise(0)).cast("int")
+
+
+def source_plan(sizes: DataFrame, seed: str = SEED, weights=WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
+    """``source, source_size, target, rate, seed`` from rows of ``doc_id, source, size``.
+
+    Draws of few or very unequal documents scatter widely, so each source tries ``DRAWS`` seeds, all in one sum
+    per source, and takes the one whose words come nearest to its target, the first on a tie.
+    """
+    targets = written(source_targets(sizes.select("source", "size"), weights, repeats), "targets").withColumn(
+        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0))
+    named = [F.lit(f"{seed}:{k}") for k in range(DRAWS)]
+    drawn = sizes.join(targets.select(F.col("source").alias("_source"), "rate"), F.col("source").eqNullSafe(F.col("_source"))).groupBy(
+        "source").agg(*[F.sum(F.col("size") * _copies(F.col("doc_id"), F.col("rate"), name)).alias(f"d{k}") for k, name in enumerate(named)])
+    away = F.array_min(F.array(*[F.struct(F.abs(F.col(f"d{k}") - F.col("target")).alias("away"), F.lit(k).alias("k")) for k in range(DRAWS)]))
+    chosen = targets.join(drawn.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    return written(chosen.select(
+        "source", "source_size", "target", "rate", F.concat(F.lit(seed + ":"), away["k"].cast("string")).alias("seed")), "sources")
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
 def plan(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``."""
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = written(source_targets(sizes.select("source", "size"), weights, repeats), "targets").select(
-        F.col("source").alias("_source"), "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(1.0)
-    whole = F.floor(rate)
-    copies = (whole + F.when(chance(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("int")
+    sizes = _sizes(docs)
+    sources = source_plan(sizes, seed, weights, repeats).withColumnRenamed("source", "_source")
     return (
-        sizes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+        sizes.join(sources, F.col("source").eqNullSafe(F.col("_source")))
+        .select("doc_id", "source", "size", "source_size", "target",
+                _copies(F.col("doc_id"), F.col("rate"), F.col("seed")).alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
 
 def emit(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    size, target, rate = (free_name(docs, n) for n in ("mix_size", "mix_target", "mix_rate"))
-    source = free_name(docs, "mix_source")
-    targets = written(source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, repeats), "targets").select(
-        F.col("source").alias(source), F.col("source_size").alias(size), F.col("target").alias(target))
-    whole = F.floor(rate)
-    copies = (whole + F.when(chance(F.col("doc_id"), seed) < F.col(rate) - whole, 1).otherwise(0)).cast("int")
-    once = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(1.0)
+    source, rate, name = (free_name(docs, n) for n in ("mix_source", "mix_rate", "mix_seed"))
+    sources = source_plan(_sizes(docs), seed, weights, repeats).select(
+        F.col("source").alias(source), F.col("rate").alias(rate), F.col("seed").alias(name))
+    copies = _copies(F.col("doc_id"), F.col(rate), F.col(name))
     return (
-        docs.join(targets, F.col("source").eqNullSafe(F.col(source)))
-        .withColumn(rate, once)
-        .filter(copies > 0)
+        docs.join(sources, F.col("source").eqNullSafe(F.col(source))).filter(copies > 0)
         .withColumn(rate, F.explode(F.sequence(F.lit(1), copies)))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
