@@ -6,12 +6,11 @@ in a document with a smaller id.  Two equal windows at word positions i and j: f
 ``ANCHOR = WINDOW - PERIOD + 1`` words from there lie inside both windows, so hashing anchors at cover
 positions alone (6 of 31) finds every match.
 
-1. Whole texts that are copies of one with a smaller id are set aside: all their windows occur there.
-2. Anchors of the other documents are hashed at cover positions and counted map-side; those that start in one
-   document only are done with.
-3. Anchors that several documents share are extended: each possible window around one is hashed to 128 bits,
-   and the smallest id per window is found map-side first.  No pairs are made; a hot passage is one row per
-   task in the count and is split by Spark in the join back.
+1. Anchors are hashed at cover positions and counted, map-side first; those that occur once are done with.
+2. Whole texts that are copies of one with a smaller id are set aside: all their windows occur there.
+3. Anchors that occur again are extended: each possible window around one is hashed to 128 bits, and the
+   smallest id per window is found, map-side first.  No pairs are made; a hot passage is one row per task in
+   the count and is split by Spark in the join back.
 4. Windows that start in a smaller id mark their words; the rest of the text is kept.
 
 Equality of windows rests on 128 hash bits.  Words are separated by ASCII white space and compared unchanged.
@@ -28,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
 from tracewell.llm import words
-from tracewell.llm.tables import free_name, kind, written
+from tracewell.llm.tables import free_name, kind, settings, written
 
 WINDOW = 50
 PERIOD = 31
@@ -42,6 +42,12 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
 NO_ID = (1 << 63) - 1
+#: Let Spark filter texts by the ids of the places, from this size of the texts and up to that of the places.
+FILTERED_JOIN = {
+    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "16MB",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1GB",
+}
 
 INTS, LONGS = ArrayType(IntegerType()), ArrayType(LongType())
 KEPT = kind(n_removed=LongType(), kept=StringType())
@@ -63,10 +69,15 @@ def kept_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.
     return b" ".join([raw[a:b] for a, b in pairs])
 
 
-@arrow_udf(kind(n_words=LongType(), words_sha256=StringType(), at=INTS, anchor=LONGS))
+def cover_positions(count: int) -> np.ndarray:
+    """The cover positions at which an anchor fits into ``count`` words."""
+    return np.flatnonzero(_IN_COVER[np.arange(max(count - ANCHOR + 1, 0)) % PERIOD])
+
+
+@arrow_udf(kind(n_words=LongType(), words_sha256=StringType(), anchors=LONGS))
 def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        counts, digests, places, found = [], [], [], []
+        counts, digests, found = [], [], []
         for _, data, offsets in words.pieces(texts):
             starts, ends, first = words.spans(data, offsets)
             hashed = words.windows(words.hashes(data, starts, ends), ANCHOR)
@@ -74,11 +85,31 @@ def _anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 counts.append(b - a)
                 digests.append(hashlib.sha256(kept_words(data[starts[a]:ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a])
                                               if b > a else b"").hexdigest())
-                places.append(np.flatnonzero(_IN_COVER[np.arange(max(b - a - ANCHOR + 1, 0)) % PERIOD]).astype(np.int32))
-                found.append(hashed[a + places[-1]].view(np.int64))
+                found.append(hashed[a + cover_positions(b - a)].view(np.int64))
         yield pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), _lists(places, pa.int32()), _lists(found, pa.int64())],
-            ["n_words", "words_sha256", "at", "anchor"])
+            [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), _lists(found, pa.int64())],
+            ["n_words", "words_sha256", "anchors"])
+
+
+@arrow_udf(BinaryType())
+def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts compressed for the way through the shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for texts in batches:
+        yield pa.array([pack(t.encode()) for t in texts.to_pylist()], pa.binary())
+
+
+def _unpacked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Packed texts as texts, in runs of about ``words.BATCH_BYTES``."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed, lists in batches:
+        texts, first, size = [], 0, 0
+        for row, one in enumerate(packed.to_pylist()):
+            texts.append(unpack(one).decode())
+            size += len(texts[-1])
+            if size >= words.BATCH_BYTES or row == len(packed) - 1:
+                yield pa.array(texts, pa.large_string()), lists.slice(first, len(texts))
+                texts, first, size = [], row + 1, 0
 
 
 def _covered(places: np.ndarray, before: int, after: int, count: int) -> np.ndarray:
@@ -88,23 +119,26 @@ def _covered(places: np.ndarray, before: int, after: int, count: int) -> np.ndar
     return np.cumsum(change[:-1]) > 0
 
 
-def _texts_with(batches, work) -> Iterator[pa.Array]:
-    """Apply ``work(data, starts, ends, places)`` to each text and its list of positions."""
-    for texts, lists in batches:
-        lists = lists.to_pylist()
+def _texts_with(batches, work) -> Iterator[list]:
+    """``work(data, starts, ends, places)`` of each packed text and its list of positions, batch by batch."""
+    for packed, lists in batches:
         out = []
-        for row, data, offsets in words.pieces(texts):
-            starts, ends, first = words.spans(data, offsets)
-            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                out.append(work(data, starts[a:b], ends[a:b], np.array(lists[row + k] or [], np.int64)))
+        for texts, some in _unpacked([(packed, lists)]):
+            some = some.to_pylist()
+            for row, data, offsets in words.pieces(texts):
+                starts, ends, first = words.spans(data, offsets)
+                for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    out.append(work(data, starts[a:b], ends[a:b], np.array(some[row + k] or [], np.int64)))
         yield out
 
 
-def _possible_windows(data, starts, ends, places):
+def _possible_windows(data, starts, ends, numbers):
+    """Windows around shared anchors, which are named by their number among the cover positions."""
     count = max(len(starts) - WINDOW + 1, 0)
-    if not count or not len(places):
+    if not count or not len(numbers):
         return [np.empty(0, np.int64)] * 3
-    at = np.flatnonzero(_covered(places, PERIOD - 1, 0, count))
+    places = cover_positions(len(starts))
+    at = np.flatnonzero(_covered(places[numbers[numbers < len(places)]], PERIOD - 1, 0, count))
     return [at] + [words.windows(words.hashes(data, starts, ends, which), WINDOW, which)[at].view(np.int64) for which in (0, 1)]
 
 
@@ -147,20 +181,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, kept_udf) -> tuple[DataFrame, DataFrame]:
     """A row for every input row, and ``order, row, n_removed, kept`` for those that lose words to extended anchors."""
     texts = _keyed(docs)
-    digest = F.sha2("text", 256)
-    first = texts.groupBy(digest.alias("digest")).agg(F.min("order").alias("earliest"))
-    scanned = texts.select("doc_id", "order", "row", digest.alias("digest"), _anchors("text").alias("a")).join(first, "digest")
-    copy = (F.col("order") > F.col("earliest")) & (F.col("a.n_words") >= WINDOW)
-    rows = written(scanned.select("doc_id", "order", "row", copy.alias("copy"), "a.*"), "anchors")
-
-    anchors = rows.filter("NOT copy").select("order", "row", F.explode(F.arrays_zip("at", "anchor")).alias("x")).select(
-        "order", "row", F.col("x.at").alias("at"), F.col("x.anchor").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select("anchor")
-    places = anchors.select("anchor", "row", "at").join(shared, "anchor").groupBy("row").agg(F.collect_set("at").alias("places"))
-
-    # whole texts move once, here; only those with shared anchors are written
-    near = written(texts.select("order", "row", "text").join(places, "row")
-                   .select("order", "row", "text", _windows("text", "places").alias("w")), "windows")
+    scanned = written(texts.select("doc_id", "order", "row", F.sha2("text", 256).alias("digest"), _anchors("text").alias("a"))
+                      .select("doc_id", "order", "row", "digest", "a.*"), "anchors")
+    first = scanned.groupBy("digest").agg(F.min("order").alias("earliest"))
+    copy = (F.col("order") > F.col("earliest")) & (F.col("n_words") >= WINDOW)
+    rows = scanned.drop("anchors").join(first, "digest").select("doc_id", "order", "row", "n_words", "words_sha256", copy.alias("copy"))
+    copies = written(rows.groupBy("order").agg(F.min("copy").alias("copy")).filter("copy").select("order"), "copies")
+
+    anchors = scanned.select("order", "anchors").join(copies, "order", "left_anti").select(
+        "order", F.posexplode("anchors").alias("number", "anchor"))
+    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # rows that repeat an id share their places: more windows are looked at, and judged by their own words
+    places = written(anchors.join(shared, "anchor").groupBy("order").agg(F.collect_set("number").alias("places")), "places")
+
+    # Texts move once, here.  Spark drops most of those without shared anchors before the exchange, by a Bloom filter
+    # of bounded size over the ids of the places; what it lets through is dropped by the join.
+    with settings(docs.sparkSession, **FILTERED_JOIN):
+        near = written(texts.select("order", "row", _packed("text").alias("text"))
+                       .join(places.filter(F.size("places") > 0), "order")
+                       .select("order", "row", "text", _windows("text", "places").alias("w")), "windows")
     each = near.select("order", "row", F.explode(F.arrays_zip("w.at", "w.high", "w.low")).alias("x")).select(
         "order", "row", F.col("x.at").alias("at"), F.col("x.high").alias("high"), F.col("x.low").alias("low"))
     least = each.groupBy("high", "low").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select(
@@ -172,7 +211,7 @@ def _found(docs: DataFrame, kept_udf) -> tuple[DataFrame, DataFrame]:
         .select("order", "row", kept_udf("text", "places").alias("k")).select("order", "row", "k.*")
         .dropDuplicates(["order", "row"])
     )
-    return rows.drop("at", "anchor"), lost
+    return rows, lost
 
 
 def removals(docs: DataFrame) -> DataFrame:
