@@ -12,6 +12,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+#: Tables whose rows are parsed, which costs more than moving them.
+TEXT_TABLES = ("documents", "pages", "conversations", "events")
+
 #: Runtime settings every job relies on.  AQE sizes and splits shuffle partitions; joins are
 #: broadcast only when the measured side is below Spark's own size threshold.
 SETTINGS = {
@@ -22,6 +25,9 @@ SETTINGS = {
     # parsing text costs far more than opening a file: smaller splits keep all cores at work
     "spark.sql.files.maxPartitionBytes": "32m",
 }
+#: A session of one machine may name into how many partitions tables of text are dealt when they are read: files
+#: with a single row group would keep one core at work.  On a cluster it is unset, and files are the partitions.
+TABLE_PARTITIONS = "spark.tracewell.tablePartitions"
 #: Settings a session must be built with.  Recording the Python call site of every column
 #: costs more than building the column.
 STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
@@ -43,7 +49,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "tracew
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
-        .config("spark.sql.files.minPartitionNum", "8")
+        .config(TABLE_PARTITIONS, os.environ.get("TABLE_PARTITIONS", "8"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**SETTINGS, **STATIC_SETTINGS}.items():
@@ -52,7 +58,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", name: str = "tracew
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    rows = spark.read.parquet(f"{directory}/{name}.parquet")
+    parts = spark.conf.get(TABLE_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts and name in TEXT_TABLES else rows
 
 
 def shared_folder(spark: SparkSession) -> str:
