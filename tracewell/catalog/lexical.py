@@ -269,12 +269,14 @@ def d18(t):
 
 _DECISIONS = """
 decisions AS MATERIALIZED (
-  SELECT claim_id, CASE claim_id % 4 WHEN 0 THEN record_id WHEN 1 THEN NULL WHEN 2 THEN record_id + 1 ELSE -1 END AS chosen,
-    0.5e0 + (claim_id % 10) / 20e0 AS sure FROM matches WHERE ambiguous AND record_id IS NOT NULL),
+  SELECT claim_id, CASE claim_id % 4 WHEN 0 THEN coalesce(record_id, 1) WHEN 1 THEN NULL WHEN 2 THEN coalesce(record_id + 1, 2) ELSE -1 END AS chosen,
+    0.5e0 + (claim_id % 10) / 20e0 AS sure FROM matches WHERE ambiguous),
 shortlist AS MATERIALIZED (
   SELECT claim_id, list(record_id) AS ids FROM (
     SELECT claim_id, record_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, record_id) AS n
-    FROM scores WHERE score > 0 AND NOT conflict) WHERE n <= 6 GROUP BY claim_id)
+    FROM (SELECT claims.claim_id, item_id, coalesce(s.score, 0e0) FROM claims CROSS JOIN benchmark
+      LEFT JOIN scores s ON s.claim_id = claims.claim_id AND s.record_id = item_id WHERE NOT coalesce(s.conflict, false)) x(claim_id, record_id, score))
+  WHERE n <= 6 GROUP BY claim_id)
 """
 
 
@@ -288,16 +290,19 @@ SELECT claim_id,
   CASE WHEN open AND ids IS NOT NULL AND (chosen IS NULL OR list_contains(ids, chosen)) THEN 'llm_adjudicated' ELSE 'lexical' END AS strategy
 FROM joined""")
 def c16(t):
-    """Decisions are derived from the matches: confirm, refuse, name the next record, name an unknown one."""
+    """Decisions are derived from the matches: confirm, refuse, name the next record, name an unknown one.
+
+    A claim without a common term is given a record of the library's first ones, which its shortlist holds.
+    """
     found = scores(t)
     matches = matching.deterministic_matches(claims(t), found)
     turn = F.col("claim_id") % 4
-    decisions = matches.filter(F.col("ambiguous") & F.col("record_id").isNotNull()).select(
+    decisions = matches.filter("ambiguous").select(
         "claim_id",
-        F.when(turn == 0, F.col("record_id")).when(turn == 1, None).when(turn == 2, F.col("record_id") + 1)
-        .otherwise(-1).alias("record_id"),
+        F.when(turn == 0, F.coalesce("record_id", F.lit(1))).when(turn == 1, None)
+        .when(turn == 2, F.coalesce(F.col("record_id") + 1, F.lit(2))).otherwise(-1).alias("record_id"),
         (F.lit(0.5) + (F.col("claim_id") % 10) / F.lit(20.0)).alias("confidence"))
-    merged = matching.adjudicate(matches, matching.shortlists(found), decisions)
+    merged = matching.adjudicate(matches, matching.shortlists(claims(t), found, records(t)), decisions)
     return merged.select("claim_id", "record_id", T.round3(F.col("confidence")).alias("confidence"), "strategy")
 
 

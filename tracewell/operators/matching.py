@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tracewell import constants as K
 from tracewell.functions.text import confidence_band, match_terms, negated_terms, round3
@@ -240,14 +241,28 @@ def ambiguity(scores: DataFrame) -> DataFrame:
     return top.withColumn("margin", F.col("score") - F.col("runner_up")).withColumn("ambiguous", unclear)
 
 
-def shortlists(scores: DataFrame, k: int = K.SHORTLIST_SIZE) -> DataFrame:
-    """The record ids an adjudicator may choose from, best first."""
+def shortlists(claims: DataFrame, scores: DataFrame, records: DataFrame, k: int = K.SHORTLIST_SIZE) -> DataFrame:
+    """The record ids an adjudicator may choose from, best first; never one that the claim denies.
+
+    Records without any common term score 0 and follow in the order of their ids, so that a reworded claim has
+    a shortlist too.  A claim needs at most as many of them as it has places and denied records, so the library's
+    first ids, one small list, serve all claims.
+    """
     order = [F.desc("score"), F.asc("record_id")]
     ranked = top_k(scores.filter((F.col("score") > 0) & ~F.col("conflict")), ["claim_id"], order, k)
-    ids = F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda r: r["record_id"]
+    best = ranked.groupBy("claim_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda r: r["record_id"]).alias("_best"))
+    denied = scores.filter("conflict").groupBy("claim_id").agg(F.collect_set("record_id").alias("_denied"))
+    most = denied.agg(F.coalesce(F.max(F.size("_denied")), F.lit(0)).alias("n")).first()["n"]
+    first = [r["record_id"] for r in records.select("record_id").orderBy("record_id").limit(k + most).collect()]
+    kind = ArrayType(records.schema["record_id"].dataType)
+    none, fill = F.array().cast(kind), F.array(*[F.lit(r) for r in first]).cast(kind)
+    listed = F.slice(F.concat(F.coalesce("_best", none), F.array_except(
+        F.array_except(fill, F.coalesce("_best", none)), F.coalesce("_denied", none))), 1, k)
+    return (
+        claims.select("claim_id").join(best, "claim_id", "left").join(denied, "claim_id", "left")
+        .select("claim_id", listed.alias("shortlist")).filter(F.size("shortlist") > 0)
     )
-    return ranked.groupBy("claim_id").agg(ids.alias("shortlist"))
 
 
 def deterministic_matches(claims: DataFrame, scores: DataFrame, strategy: str = "lexical") -> DataFrame:
