@@ -1,6 +1,7 @@
 """Whole operators: invariants, brute force on small fixtures, and order independence."""
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -47,9 +48,21 @@ def test_vector_blocks_give_the_same_result(spark, monkeypatch):
     vector = lambda: [random.uniform(-1, 1) for _ in range(4)]
     queries = spark.createDataFrame([(i, vector()) for i in range(20)], "claim_id long, embedding array<double>")
     library = spark.createDataFrame([(i // 2, vector()) for i in range(30)], "record_id long, embedding array<double>")
-    whole = sorted((r["claim_id"], r["record_id"], round(r["semantic"], 9)) for r in matching.vector_scores(queries, library, 3).collect())
-    monkeypatch.setattr(matching, "BLOCK_NUMBERS", 40)
-    assert whole == sorted((r["claim_id"], r["record_id"], round(r["semantic"], 9)) for r in matching.vector_scores(queries, library, 3).collect())
+    rows = lambda q: sorted((r["claim_id"], r["record_id"], round(r["semantic"], 9)) for r in matching.vector_scores(q, library, 3).collect())
+    whole = rows(queries)
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    known = library.collect()
+    expected = []
+    for q in queries.collect():
+        best = {}
+        for v in known:
+            best[v["record_id"]] = max(best.get(v["record_id"], -2), cosine(q["embedding"], v["embedding"]))
+        expected += [(q["claim_id"], k, round(s, 9)) for k, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    assert whole == sorted(expected)
+    monkeypatch.setattr(matching, "BLOCK_ROWS", 4)
+    assert rows(queries) == whole
+    named = rows(queries.withColumn("also", F.array(F.lit(14).cast("long"))))  # asked for by name, whatever its rank
+    assert set(whole) < set(named) and {q for q, r, _ in named if r == 14} == set(range(20))
 
 
 def brute_limiter(events, width, limit):
