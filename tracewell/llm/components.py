@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import written
+from tracewell.llm.tables import discard, written_at
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the longest path.  Only minima per node are computed, combined map-side, and each
     round is a table in the shared folder.  The driver sees one number per round.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                    .filter("a <> b").distinct(), "links")
+    edges, folder = written_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                               .filter("a <> b").distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -28,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = written(small, "links")
+        done = folder
+        edges, folder = written_at(small, "links")
+        discard(done)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
         if state == before:
             ends = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

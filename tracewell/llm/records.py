@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.tables import new_folder
+from tracewell.llm.tables import files_of, new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -176,19 +176,11 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _files(folder: str):
-    """The file system of a URI or a plain path, and the path in it."""
-    from pyarrow import fs
-
-    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:") if folder.startswith(("/", "file:")) else folder
-    return fs.FileSystem.from_uri(uri)
-
-
 def _writer(folder: str, path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        files, base = _files(folder)
+        files, base = files_of(folder)
         files.create_dir(base, recursive=True)
         name = f"{base}/part-{part:08d}"
         own = f"{name}.{context.taskAttemptId()}"
@@ -244,7 +236,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None) -
 def _read_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            files, base = _files(row["folder"])
+            files, base = files_of(row["folder"])
             name = f"{base}/part-{row['part']:08d}"
             with files.open_input_file(name + ".idx") as source:
                 index = np.frombuffer(source.read(), "<u8").reshape(-1, 2).astype(np.int64)
@@ -286,7 +278,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 def read_record(folder: str, part: int, number: int, width: int = 2) -> tuple[int, np.ndarray]:
     """One record by its place: a shuffled read.  The document's id and its token ids."""
-    files, base = _files(folder)
+    files, base = files_of(folder)
     name = f"{base}/part-{part:08d}"
     with files.open_input_file(name + ".idx") as source:
         begin, end = np.frombuffer(source.read_at(32, 16 * number), "<u8")[::2].astype(int).tolist()

@@ -53,16 +53,38 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def files_of(folder: str):
+    """The file system of a URI or a plain path, and the path in it."""
+    from pyarrow import fs
+
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:") if folder.startswith(("/", "file:")) else folder
+    return fs.FileSystem.from_uri(uri)
+
+
+def written_at(frame: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write a frame as Parquet to the shared folder and read it back; also its folder."""
+    spark = frame.sparkSession
+    folder = new_folder(spark, what)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder), folder
+
+
 def written(frame: DataFrame, what: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it back.
 
     Later steps then read only the columns they need, nothing is computed twice, and a lost
     executor costs no more than the tasks it was running.
     """
-    spark = frame.sparkSession
-    folder = new_folder(spark, what)
-    frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+    return written_at(frame, what)[0]
+
+
+def discard(folder: str) -> None:
+    """Remove a table of this run that no later step reads.  Where files can not be reached from here it stays."""
+    try:
+        files, base = files_of(folder)
+        files.delete_dir(base)
+    except (OSError, ValueError):
+        pass
 
 
 def kind(**fields) -> StructType:
