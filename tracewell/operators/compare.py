@@ -58,11 +58,12 @@ def passage_for(passages: Column, version_passage: Column, evidence_ids: Column)
     return F.coalesce(own, other)
 
 
-def bound_versions(versions: DataFrame, snaps: DataFrame) -> DataFrame:
+def bound_versions(versions: DataFrame, snaps: DataFrame, most: int = K.ACQUISITION_LIMIT_MAX) -> DataFrame:
     """The best version per source, bound to its snapshot and passage, in time order.
 
     ``ordinal`` numbers a claim's versions: dated ones by instant, undated last, ties by
-    source id.
+    source id.  A claim with more sources than ``most``, which ``select_sources`` never lets pass, is an error:
+    every two versions of a claim are compared.
     """
     source = snaps.filter(readable_source()).select(
         "claim_id", "source_id", "title", "domain", "publisher", "author", "published_at", "date_confidence",
@@ -82,7 +83,9 @@ def bound_versions(versions: DataFrame, snaps: DataFrame) -> DataFrame:
         })
     )
     order = Window.partitionBy("claim_id").orderBy(F.asc_nulls_last("published_ts"), F.asc("source_id"))
-    return rows.withColumn("ordinal", F.row_number().over(order))
+    too_many = F.raise_error(F.lit(f"a claim has more than {most} sources; select_sources bounds them")).cast("int")
+    return rows.withColumn("ordinal", F.row_number().over(order)).withColumn(
+        "ordinal", F.when(F.col("ordinal") <= most, F.col("ordinal")).otherwise(too_many))
 
 
 _VERSION_SIDE = (
