@@ -47,7 +47,7 @@ END = 1
 NO_ID = (1 << 63) - 1
 MASK = 0xA282EAD8
 #: Words, and parts of words, whose ids a worker remembers; beyond, a table starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 #: Words encoded in one call.
 ENCODED = 1024
 #: Bytes that a writer gathers before it appends them.
