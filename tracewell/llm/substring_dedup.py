@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
 from tracewell.llm import words
-from tracewell.llm.tables import free_name, kind, settings, written
+from tracewell.llm.tables import discard, free_name, kind, settings, written, written_at
 
 WINDOW = 50
 PERIOD = 31
@@ -181,18 +181,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, kept_udf) -> tuple[DataFrame, DataFrame]:
     """A row for every input row, and ``order, row, n_removed, kept`` for those that lose words to extended anchors."""
     texts = _keyed(docs)
-    scanned = written(texts.select("doc_id", "order", "row", F.sha2("text", 256).alias("digest"), _anchors("text").alias("a"))
-                      .select("doc_id", "order", "row", "digest", "a.*"), "anchors")
+    scanned, folder = written_at(
+        texts.select("doc_id", "order", "row", F.sha2("text", 256).alias("digest"), _anchors("text").alias("a"))
+        .select("doc_id", "order", "row", "digest", "a.*"), "anchors")
     first = scanned.groupBy("digest").agg(F.min("order").alias("earliest"))
     copy = (F.col("order") > F.col("earliest")) & (F.col("n_words") >= WINDOW)
-    rows = scanned.drop("anchors").join(first, "digest").select("doc_id", "order", "row", "n_words", "words_sha256", copy.alias("copy"))
+    rows = written(scanned.drop("anchors").join(first, "digest").select(
+        "doc_id", "order", "row", "n_words", "words_sha256", copy.alias("copy")), "rows")
     copies = written(rows.groupBy("order").agg(F.min("copy").alias("copy")).filter("copy").select("order"), "copies")
 
     anchors = scanned.select("order", "anchors").join(copies, "order", "left_anti").select(
         "order", F.posexplode("anchors").alias("number", "anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # what is counted is written before it is joined back: both sides of the join are then plain exchanges, and
+    # Spark splits a hot key
+    shared = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared")
     # rows that repeat an id share their places: more windows are looked at, and judged by their own words
     places = written(anchors.join(shared, "anchor").groupBy("order").agg(F.collect_set("number").alias("places")), "places")
+    discard(folder)
 
     # Texts move once, here.  Spark drops most of those without shared anchors before the exchange, by a Bloom filter
     # of bounded size over the ids of the places; what it lets through is dropped by the join.
@@ -202,8 +207,8 @@ def _found(docs: DataFrame, kept_udf) -> tuple[DataFrame, DataFrame]:
                        .select("order", "row", "text", _windows("text", "places").alias("w")), "windows")
     each = near.select("order", "row", F.explode(F.arrays_zip("w.at", "w.high", "w.low")).alias("x")).select(
         "order", "row", F.col("x.at").alias("at"), F.col("x.high").alias("high"), F.col("x.low").alias("low"))
-    least = each.groupBy("high", "low").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select(
-        "high", "low", "a")
+    least = written(each.groupBy("high", "low").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").select(
+        "high", "low", "a"), "least")
     repeats = each.join(least, ["high", "low"]).filter(F.col("order") > F.col("a")).groupBy("order", "row").agg(
         F.collect_set("at").alias("places"))
     lost = (
