@@ -21,7 +21,7 @@ rows of their own; an empty table gives an empty result; other columns pass thro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -151,10 +151,13 @@ def groups(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to a smaller id; of rows that repeat an id one is kept."""
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = groups) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a smaller id; of rows that repeat an id one is kept.
+
+    ``grouped`` gives ``doc_id, component_id`` of every row.
+    """
     key, rank = free_name(docs, "simhash_key"), free_name(docs, "simhash_rank")
-    keep = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    keep = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
     # the window asks for the partitioning and order that the join has made
     return (
