@@ -54,6 +54,15 @@ def test_templates_generalise_merge_and_reject(spark):
     assert by["http://odd.com/good/7"].verdict == "allow"
 
 
+def test_blocked_pages_elsewhere_reject_nothing(spark):
+    """With block rules alone, or nearly alone, the prior is above the threshold."""
+    urls = ["http://bad.com/x"] * 60 + [f"http://good.com/a/{i}" for i in range(30)] + ["http://other.com/b", "http://mixed.com/ok", "http://mixed.com/no"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for rules in ([("bad.com/", "block")], [("bad.com/", "block"), ("mixed.com/ok", "allow")]):
+        got = {urls[r.page_id]: r.verdict for r in url_filter.judge(pages, rules).collect()}
+        assert {u for u, v in got.items() if v == "block"} == {"http://bad.com/x"}
+
+
 def test_empty_and_limits(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     with pytest.raises(ValueError):

@@ -7,8 +7,9 @@
    children become ``*``.
 4. Branches under one node whose pages spread alike over what follows, and over the rules' labels, are merged
    into ``~``: each branch is compared with all branches of the node together (chi-square, linear in branches).
-5. A template is rejected if its smoothed share of blocked pages among labelled ones reaches ``REJECT``.
-   Labels are the decisions of the rules; the prior is the share over all labelled pages.
+5. A template is rejected if its share of blocked pages among labelled ones reaches ``REJECT``, both as it is and
+   smoothed.  Labels are the decisions of the rules; the prior is the share over all labelled pages.  A template
+   without labels is never rejected, however many pages are blocked elsewhere.
 
 Defined results: a null url or one without ``://`` has empty host and path; no rule fits an empty host; a page
 that no rule decides gets its template's verdict; without any label the prior is one half and nothing is
@@ -124,9 +125,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
     named = written(counts.join(templates(counts), ["host", "shape"]), "templates")
     judged = named.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select(
         "host", "template",
-        ((F.col("bad") + F.lit(PRIOR_PAGES * prior)) / (F.col("bad") + F.col("good") + F.lit(PRIOR_PAGES))).alias("purity"))
+        ((F.col("bad") + F.lit(PRIOR_PAGES * prior)) / (F.col("bad") + F.col("good") + F.lit(PRIOR_PAGES))).alias("purity"),
+        ((F.col("bad") > 0) & (F.col("bad") >= F.lit(REJECT) * (F.col("bad") + F.col("good")))).alias("own"))
     by_shape = named.select("host", "shape", "template").join(judged, ["host", "template"])
-    method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    method = F.when(F.col("own") & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return rows.join(by_shape, ["host", "shape"]).select(
         "page_id", "host", "path", F.col("decided.rule").alias("rule"),
         F.coalesce(F.col("decided.verdict"), method).alias("verdict"), "template", "purity")
