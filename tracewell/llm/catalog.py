@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    decontaminate, exact_dedup, language_crf, mixing, quality_gam, records, sharding, simhash, substring_dedup, url_filter,
+    alignment, chat_format, decontaminate, exact_dedup, language_crf, mixing, quality_gam, records, sharding, simhash, substring_dedup,
+    turn_repair, url_filter,
 )
 from tracewell.llm.tables import WORD, table
 
@@ -54,9 +55,30 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold control strings.
+TRICKY_ID, TRICKY = -7, "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, formatted and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(TRICKY_ID).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(TRICKY))
+    return chat_format.read_digests(chat_format.format_turns(chat_format.plain_turns(given.union(more))))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scores(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule and repaired."""
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_substring_dedup, op3_sharding, op4_simhash, op5_decontamination, op6_quality, op7_exact_dedup,
-    op8_language, op9_mixing, op10_token_records)}
+    op8_language, op9_mixing, op10_token_records, op11_chat_format, op12_token_alignment, op13_turn_repair)}
 
 
 def _rule_case(answer: int) -> str:
