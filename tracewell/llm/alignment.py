@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from tracewell.llm.tables import files_of, settings, written, written_at
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words that a worker remembers, and their characters.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 8 << 20
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
 #: Characters that are encoded together, and about those of texts that are aligned together.
 TOGETHER = 1 << 18
 #: Pairs of ids whose counts a worker holds at once.
@@ -130,26 +131,31 @@ class Aligner:
         """Encode and align words; names are the keys under which they will be known."""
         whole = "".join(words)
         raw = [w.encode() for w in words]
-        ends = np.cumsum([len(r) for r in raw])
-        a_ids = np.array(self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
-        a_end = np.cumsum(self.a_size[a_ids])
+        joined, ends = b"".join(raw), np.cumsum([len(r) for r in raw])
+        a = np.array(self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.int64)
+        a_end = np.cumsum(self.a_size[a])
         cuts = np.searchsorted(a_end, ends)
         if not len(a_end) or a_end[-1] != ends[-1] or (a_end[cuts] != ends).any():
             raise ValueError("the first tokenizer's tokens reach over words")
-        a_lists = np.split(a_ids, cuts[:-1] + 1)
-        b_lists = self._second(words)
-        good = [b"".join([self.b_bytes[i] for i in b]) == r and b"".join([self.a_bytes[i] for i in a.tolist()]) == r
-                for a, b, r in zip(a_lists, b_lists, raw)]
-        for name in (n for n, g in zip(names, good) if not g):
-            self.known[name] = _BROKEN
-        kept = [i for i, g in enumerate(good) if g]
-        if kept:
-            self._align([names[i] for i in kept], [a_lists[i] for i in kept], [b_lists[i] for i in kept])
+        a_count = np.diff(cuts, prepend=-1)
+        lists = self._second(words)
+        b = list(chain.from_iterable(lists))
+        b_count = np.array([len(x) for x in lists])
+        spelled = all(b"".join([of[i] for i in x]) == joined for of, x in ((self.a_bytes, a.tolist()), (self.b_bytes, b)))
+        b_end = np.append(0, np.cumsum(self.b_size[b]))
+        if not spelled or (b_end[np.cumsum(b_count)] != ends).any():
+            # some word differs: look at each
+            starts = (np.cumsum(a_count) - a_count).tolist()
+            good = np.array([b"".join([self.b_bytes[i] for i in x]) == r and b"".join([self.a_bytes[i] for i in a[at:at + n].tolist()]) == r
+                             for x, r, at, n in zip(lists, raw, starts, a_count.tolist())])
+            self.known.update(dict.fromkeys((n for n, g in zip(names, good) if not g), _BROKEN))
+            a, b = a[np.repeat(good, a_count)], [i for x, g in zip(lists, good) if g for i in x]
+            a_count, b_count, names = a_count[good], b_count[good], [n for n, g in zip(names, good) if g]
+        if names:
+            self._align(names, a, a_count, np.array(b, np.int64), b_count)
         self.chars += len(whole)
 
-    def _align(self, names: list[str], a_lists: list[np.ndarray], b_lists: list[list[int]]) -> None:
-        a_count, b_count = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
-        a, b = np.concatenate(a_lists), np.array([i for x in b_lists for i in x], np.int64)
+    def _align(self, names: list[str], a: np.ndarray, a_count: np.ndarray, b: np.ndarray, b_count: np.ndarray) -> None:
         a_label, b_label = labels(np.cumsum(self.a_size[a]), self.a_size[a], np.cumsum(self.b_size[b]), self.b_size[b])
         terminal = b_label == np.arange(len(b))
         order = np.cumsum(terminal) - 1  # of groups, at their last B token
@@ -166,18 +172,16 @@ class Aligner:
                             np.bincount(word, weights=links, minlength=len(names)).astype(np.int64)], 1)
         have = len(self.groups)
         self._store(numbers, np.bincount(pair // width, minlength=len(names)), pair % width, times)
-        a_text, b_text = a.astype(str).tolist(), b.astype(str).tolist()
-        a_to, b_to = np.cumsum(a_in).tolist(), np.cumsum(b_in).tolist()
+        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
         shown, i, j = [], 0, 0
-        for p, q in zip(a_to, b_to):
+        for p, q in zip(np.cumsum(a_in).tolist(), np.cumsum(b_in).tolist()):
             shown.append(f"{a_text[i] if p == i + 1 else ','.join(a_text[i:p])}|{b_text[j] if q == j + 1 else ','.join(b_text[j:q])}")
             i, j = p, q
         g = 0
-        for n, name in enumerate(names):
-            of = int(numbers[n, 2])
+        for of in numbers[:, 2].tolist():
             self.groups.append(shown[g] if of == 1 else ";".join(shown[g:g + of]))
-            self.known[name] = have + n
             g += of
+        self.known.update(zip(names, range(have, have + len(names))))
 
     def _store(self, numbers: np.ndarray, pairs: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
         have, more, used = len(self.groups), len(numbers), int(self.first[len(self.groups)])
@@ -190,19 +194,19 @@ class Aligner:
         self.first[have + 1:have + more + 1] = used + np.cumsum(pairs)
         self.keys[used:used + len(keys)], self.times[used:used + len(keys)] = keys, times
 
-    def words(self, chunk: str) -> list[int]:
-        """The numbers of a chunk's words; a chunk begins with a space or a newline before which a text can be cut."""
-        pieces = chunk.replace("\n", " \n")[1:].split(" ")
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list({p for p, n in zip(pieces, found) if n is None})
-            plain = [p for p in new if _PRINTING(p)]
-            self.known.update(dict.fromkeys(set(new).difference(plain), _ODD))
-            self._in_steps(plain, [p if p[0] == "\n" else " " + p for p in plain])
-            found = list(map(self.known.__getitem__, pieces))
-        if _ODD not in found:
-            return found
-        # double spaces, other white space at a border and the like: cut by the rule itself
+    def words(self, chunks: list[str]) -> list[list[int]]:
+        """The numbers of each chunk's words; a chunk begins with a space or a newline before which a text can be cut."""
+        pieces = [c.replace("\n", " \n")[1:].split(" ") for c in chunks]
+        found = [list(map(self.known.get, p)) for p in pieces]
+        new = list({p for ps, ns in zip(pieces, found) if None in ns for p, n in zip(ps, ns) if n is None})
+        plain = [p for p in new if _PRINTING(p)]
+        self.known.update(dict.fromkeys(set(new).difference(plain), _ODD))
+        self._in_steps(plain, [p if p[0] == "\n" else " " + p for p in plain])
+        found = [list(map(self.known.__getitem__, p)) if None in n else n for p, n in zip(pieces, found)]
+        return [self._odd(c) if _ODD in n else n for c, n in zip(chunks, found)]
+
+    def _odd(self, chunk: str) -> list[int]:
+        """Double spaces, other white space at a border and the like: cut by the rule itself."""
         pieces = _CUT.split(chunk)
         names = ["\0" + p for p in pieces]
         for name, piece in dict(zip(names, pieces)).items():
@@ -278,7 +282,7 @@ def _aligned(first: str, second: str):
             held, size = [], 0  # chunks that are aligned together
 
             def align() -> None:
-                parts = [(i, aligner.words(chunk)) for i, chunk in held]
+                parts = list(zip([i for i, _ in held], aligner.words([c for _, c in held])))
                 for i, words in parts:
                     if _BROKEN in words:
                         found[i].broken = True
