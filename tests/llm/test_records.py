@@ -64,10 +64,15 @@ def test_files_and_shuffled_reads(spark, tmp_path):
     assert same[::2] == same[1::2] and again.count() == len(parts)
 
 
-def test_small_word_table_and_empty(spark, monkeypatch):
+def test_small_word_tables_and_steps(spark, monkeypatch):
+    import pyarrow as pa
+
     encoder = records.Encoder(records.tokenizer_path())
-    texts = [t or "" for _, t, *_ in odd_rows()]
-    whole = list(encoder(texts))
-    monkeypatch.setattr(records, "REMEMBERED", 3)
-    assert [b for t in texts for b in encoder([t])] == whole
+    texts = [t for _, t, *_ in odd_rows()] + TRICKY
+    want = [np.array(encoder.model.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes() for t in texts]
+    assert list(encoder(pa.array(texts, pa.string()))) == want
+    for name, value in (("REMEMBERED", 6), ("STEP", 7), ("TOGETHER", 50)):
+        monkeypatch.setattr(records, name, value)
+        assert list(encoder(pa.array(texts[::-1], pa.string()))) == want[::-1]
+    assert list(encoder(pa.array([], pa.string()))) == []
     assert records.token_records(spark.createDataFrame([], SCHEMA)).count() == 0

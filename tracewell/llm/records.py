@@ -17,7 +17,8 @@ text.  A task writes to a name of its own and renames it when complete, so a tas
 leaves the same files.  Files are reached through their URI, local or remote.
 
 The tokenizer's words are separated by white space, so a text's ids are those of its white-space separated
-words in a row; a word is encoded by the tokenizer once and remembered in a table of at most ``REMEMBERED`` words.  A
+words in a row; a word is encoded by the tokenizer and remembered in a table of at most ``REMEMBERED`` words, which
+those leave first that were not met for longest.  A
 text in which the name of a special token occurs is encoded whole.
 
 Defined results: a null or empty text is a record with the end id alone; a null id is written as ``NO_ID`` and
@@ -36,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,15 +48,19 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 NO_ID = (1 << 63) - 1
 MASK = 0xA282EAD8
-#: Words, and parts of words, whose ids a worker remembers; beyond, a table starts anew.
-REMEMBERED = 450_000
+#: Words, and parts of words, whose ids a worker remembers.
+REMEMBERED = 600_000
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 2 << 20
+#: Words that are looked up at once.
+STEP = 1 << 18
 #: Words encoded in one call.
 ENCODED = 1024
 #: Bytes that a writer gathers before it appends them.
 BUFFER = 4 << 20
-#: A word of Latin letters, all of which have a simple lower case, and signs that can not begin a contraction.
-_WHOLE = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+|[!-&(-/:-@\[-`{-~]+").fullmatch
-_LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Words in lines: Latin letters, all of which have a simple lower case, and signs that can not begin a contraction
+#: behind them; or anything else.
+_PARTS = re.compile("^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE).findall
 
 
 def masked(data: bytes) -> int:
@@ -101,8 +107,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = Remembered(), Remembered()
         self.end = self._bytes([END])
         # ids of tokens that end a word, where the vocabulary marks them
         self.ending = np.zeros(self.model.get_vocab_size(), bool)
@@ -111,63 +116,99 @@ class Encoder:
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Put the ids of unknown words into the table."""
-        cut = []
-        for word in words:
-            text = word.decode()
-            match = _LATIN(text)
-            cut.append((match[1].lower(), match[2]) if match else (text, ""))
-        new = list({p for both in cut for p in both if p and p not in self.parts})
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
-            new = list({p for both in cut for p in both if p})
-        whole = [p for p in new if _WHOLE(p)]
-        for some in (whole, [p for p in new if not _WHOLE(p)]):
+        found = _PARTS("\n".join(words))
+        heads = "\n".join([f[0] for f in found]).lower().split("\n")
+        tails, others = [f[1] for f in found], [f[2] for f in found]
+        whole = {*heads, *tails}
+        new = self.parts.missing({*whole, *others})
+        for some, is_whole in (([p for p in new if p in whole], True), ([p for p in new if p not in whole], False)):
             for at in range(0, len(some), ENCODED):
-                self._encode(some[at:at + ENCODED], some is whole)
-        self.parts[""] = b""
-        for word, (head, tail) in zip(words, cut):
-            self.known[word] = self.parts[head] + self.parts[tail]
+                self._encode(some[at:at + ENCODED], is_whole)
+        parts = self.parts.young
+        self.known.young.update(zip(words, [parts[o] if o else parts[h] + parts[t] for h, t, o in zip(heads, tails, others)]))
 
     def _encode(self, parts: list[str], whole: bool) -> None:
         """Encode parts; ``whole`` ones are one word each to the tokenizer and go in one text, whose ids are cut
         behind those that end a word."""
         if whole:
-            ids = np.array(self.model.encode(" ".join(parts), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(self.ending[ids]) + 1
             if len(parts) == len(ends) and ends[-1] == len(ids):
-                raw, size, begin = ids.tobytes(), self.kind.itemsize, 0
-                for part, end in zip(parts, (ends * size).tolist()):
-                    self.parts[part] = raw[begin:end]
-                    begin = end
+                raw, size = ids.tobytes(), self.kind.itemsize
+                ends = (ends * size).tolist()
+                self.parts.young.update(zip(parts, [raw[begin:end] for begin, end in zip([0, *ends], ends)]))
                 return
         for part, out in zip(parts, self.model.encode_batch_fast(parts, add_special_tokens=False)):
-            self.parts[part] = self._bytes(out.ids)
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(s in text for s in self.special):
-                yield self._bytes(self.model.encode(text, add_special_tokens=False).ids) + self.end
-                continue
-            out = []
-            for words in self._runs(text.encode()):
-                new = set(words).difference(self.known)
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = set(words)
-                if new:
-                    self._learn(list(new))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            yield b"".join(out) + self.end
-
-    @staticmethod
-    def _runs(raw: bytes) -> Iterator[list[bytes]]:
-        """The words of a text, separated by ASCII white space, at most ``REMEMBERED`` / 2 at once."""
-        words = raw.split()
-        step = max(REMEMBERED // 2, 1)
-        for at in range(0, len(words), step):
-            yield words[at:at + step]
+            self.parts.young[part] = self._bytes(out.ids)
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids; texts are looked up together, about ``TOGETHER`` bytes at once, a longer one alone."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(texts):
+            last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, "right")), first + 1)
+            yield from self._together(pc.fill_null(texts.slice(first, last - first), ""))
+            first = last
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        special = pa.array(np.zeros(len(texts), bool))
+        for name in self.special:
+            special = pc.or_(special, pc.match_substring(texts, name))
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", texts))
+        words, sizes, ids = lists.flatten(), [np.zeros(1, np.int64)], [np.zeros(0, self.kind)]
+        for at in range(0, len(words), STEP):
+            few = words.slice(at, STEP).dictionary_encode()
+            known = self._know(_listed(few.dictionary))
+            held = np.frombuffer(b"".join(known), self.kind)
+            size = np.array(list(map(len, known)), np.int64) // self.kind.itemsize
+            number = few.indices.to_numpy()
+            many = size[number]
+            begin = (np.cumsum(size) - size)[number] - (np.cumsum(many) - many)
+            ids.append(held[np.repeat(begin, many) + np.arange(int(many.sum()))])
+            sizes.append(many)
+        found = np.concatenate(ids)
+        ends = np.cumsum(np.concatenate(sizes))[lists.offsets.to_numpy()].tolist()
+        for begin, end, whole, text in zip(ends, ends[1:], special.to_pylist(), texts):
+            if whole:
+                yield self._bytes(self.model.encode(text.as_py(), add_special_tokens=False).ids) + self.end
+            else:
+                yield found[begin:end].tobytes() + self.end
+
+    def _know(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, at most ``STEP``."""
+        new = self.known.missing(set(words).difference(("",)))
+        if new:
+            self._learn(new)
+        self.known.young[""] = b""
+        return list(map(self.known.young.__getitem__, words))
+
+
+class Remembered:
+    """A bounded table in two generations: what is asked for goes on from the old one to the young one, and when that is
+    half full, it becomes the old one.  So what is asked for again and again stays.  One call may go beyond the bound."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither has.  The others are in the young one from here until the next call."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+            new = keys
+        still = {k: self.old[k] for k in new if k in self.old}
+        self.young.update(still)
+        return [k for k in new if k not in still]
+
+
+def _listed(words: pa.Array) -> list[str]:
+    """Words without line ends as Python strings, made from one string, which is faster than one by one."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
 
 
 @lru_cache(maxsize=2)
@@ -193,18 +234,17 @@ def _writer(folder: str, path: str):
             size = 0
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             texts = batch.column("text")
-            for first in range(0, len(ids), 64):
-                for number, encoded in zip(ids[first:first + 64].tolist(), encoder(texts.slice(first, 64).to_pylist())):
-                    record = frame(struct.pack("<q", number) + encoded)
-                    offsets.append(at)
-                    tokens.append(total)
-                    at += len(record)
-                    total += len(encoded) // encoder.kind.itemsize
-                    gathered.append(record)
-                    size += len(record)
-                    if size >= BUFFER:
-                        stream.write(b"".join(gathered))
-                        gathered, size = [], 0
+            for number, encoded in zip(ids.tolist(), encoder(texts)):
+                record = frame(struct.pack("<q", number) + encoded)
+                offsets.append(at)
+                tokens.append(total)
+                at += len(record)
+                total += len(encoded) // encoder.kind.itemsize
+                gathered.append(record)
+                size += len(record)
+                if size >= BUFFER:
+                    stream.write(b"".join(gathered))
+                    gathered, size = [], 0
             stream.write(b"".join(gathered))
         if stream is None:
             return
