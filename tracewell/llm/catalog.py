@@ -125,9 +125,10 @@ decided AS (
 named AS (
   SELECT host, shape, string_agg(token, '/' ORDER BY i) AS template FROM steps JOIN decided USING (host, i, above, name) GROUP BY ALL),
 judged AS (
-  SELECT host, template, (sum(bad)::DOUBLE + {_U.PRIOR_PAGES} * any_value(p)) / (sum(bad + good)::DOUBLE + {_U.PRIOR_PAGES}) AS purity
+  SELECT host, template, (sum(bad)::DOUBLE + {_U.PRIOR_PAGES} * any_value(p)) / (sum(bad + good)::DOUBLE + {_U.PRIOR_PAGES}) AS purity,
+         sum(bad) > 0 AND sum(bad)::DOUBLE >= {_U.REJECT} * sum(bad + good)::DOUBLE AS own
   FROM counts JOIN named USING (host, shape) CROSS JOIN prior GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN purity >= {_U.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN own AND purity >= {_U.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
 FROM rows_ JOIN named USING (host, shape) JOIN judged USING (host, template)
 """,
     "op2_substring_dedup": rf"""
