@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.operators import graph, history, matching, ranking, records
+from tracewell.sources import images
 from tracewell.streaming import jobs
 
 
@@ -88,6 +89,41 @@ def test_limiter_equals_brute_force(spark):
     assert got == brute_limiter(events, dt.timedelta(seconds=60), 4)
 
 
+def test_limiter_of_a_key_that_never_pauses(spark):
+    """Some thousand windows in a row, null keys and repeated times; pointer doubling and no Python in the plan."""
+    start = dt.datetime(2024, 1, 1)
+    random.seed(9)
+    events = [("busy", start + dt.timedelta(seconds=7 * i + random.random()), i) for i in range(6000)]
+    events += [("busy", events[i][1], 10_000 + i) for i in range(0, 6000, 9)] + [("exact", start + dt.timedelta(seconds=60 * i), 20_000 + i) for i in range(50)]
+    frame = spark.createDataFrame([*events, *[(None, start + dt.timedelta(seconds=i), 30_000 + i) for i in range(100)]], "key string, ts timestamp, event_id long")
+    got = history.limited_requests(frame, 60, 4)
+    plan = got._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+    found = {r["event_id"]: r["allowed"] for r in got.collect()}
+    events += [("", start + dt.timedelta(seconds=i), 30_000 + i) for i in range(100)]
+    assert found == brute_limiter(events, dt.timedelta(seconds=60), 4)
+
+
+def test_image_files_are_read_from_a_folder(spark, tmp_path):
+    """Files on disk, a copy among them, through the binary source."""
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\0" * 9
+    bmp = b"BM" + b"\0" * 16 + (70).to_bytes(4, "little") + (50).to_bytes(4, "little")
+    (tmp_path / "deep").mkdir()
+    for name, content in {"a.png": png, "b.png": png, "c.bmp": bmp, "deep/d.png": png + b"x", "e.txt": b"no image", "f.png": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    found = images.image_ledger(images.read_images(spark, str(tmp_path)))
+    got = {r["path"].rsplit("/", 1)[1]: r for r in found.collect()}
+    assert {n: (r["format"], r["width"], r["height"], r["byte_length"]) for n, r in got.items() if r["format"]} == {
+        "a.png": ("png", 640, 480, len(png)), "b.png": ("png", 640, 480, len(png)), "c.bmp": ("bmp", 70, 50, len(bmp)), "d.png": ("png", 640, 480, len(png) + 1)}
+    assert {n: r["verdict"] for n, r in got.items()} == {
+        "a.png": "accepted", "b.png": "accepted", "c.bmp": "accepted", "d.png": "accepted", "e.txt": "unsupported"}  # Spark skips files without bytes
+    assert [tuple(r)[1:] for r in images.duplicate_images(found).filter("copies > 1").collect()] == [(2, got["a.png"]["path"])]
+    pruned = images.read_images(spark, str(tmp_path), names="*.png", most_bytes=len(png), since="2000-01-01")
+    assert "GreaterThanOrEqual(m" in pruned._jdf.queryExecution().toString()  # a pushed filter, as the plan shortens it
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in pruned.collect()) == ["a.png", "b.png"]
+    assert images.read_images(spark, str(tmp_path), since="2999-01-01").count() == 0
+
+
 def test_reachability_handles_cycles(spark):
     links = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "b"), ("g", "x", "y")], "graph_id string, source string, target string")
     seeds = spark.createDataFrame([("g", "c")], "graph_id string, node string")
@@ -100,6 +136,22 @@ def test_levels_stop_on_cycles(spark):
     assert graph.levels(nodes, links).count() == 2
 
 
+def test_levels_by_peeling_equal_rounds(spark, monkeypatch):
+    """Random graphs with and without cycles, a deep chain, self-loops, unknown ends: as many rounds as levels."""
+    random.seed(12)
+    links = [(f"g{g}", random.randint(0, 11), random.randint(0, 11)) for g in range(12) for _ in range(g + 4)]
+    links = [(g, a, b) if int(g[1:]) % 2 else (g, min(a, b), max(a, b) + 1) for g, a, b in links]  # even graphs have no cycle
+    links += [("deep", i, i + 1) for i in range(30)] + [("deep", 0, 30), ("deep", 5, 99), ("loop", 1, 1), ("loop", 1, 2)]
+    nodes = {(g, x) for g, *ends in links for x in ends if x != 99} | {("alone", 1)}
+    link_frame = spark.createDataFrame(links, "graph_id string, source long, target long")
+    node_frame = spark.createDataFrame(sorted(nodes), "graph_id string, node long")
+    want = {tuple(r) for r in graph.levels_in_rounds(node_frame, link_frame).collect()}
+    rounds = []
+    monkeypatch.setattr(graph, "levels_in_rounds", lambda n, e, f=graph.levels_in_rounds: rounds.append(n.select("graph_id").distinct().count()) or f(n, e))
+    assert {tuple(r) for r in graph.levels(node_frame, link_frame).collect()} == want
+    assert rounds and rounds[0] <= 7 and ("deep", 30, 30) in want
+
+
 def test_broken_records_are_reported(spark):
     hop = "array<struct<type: string>>"
     rel = "array<struct<from_node_id: string, to_node_id: string>>"

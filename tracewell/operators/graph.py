@@ -220,9 +220,45 @@ def degrees(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
 def levels(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Longest-path level of every node, all graphs at once.
 
-    ``node_table(graph_id, node)``, ``edge_table(graph_id, source, target)``.  A node's level
-    rises at most once per round; a graph stops rising after as many rounds as it has nodes,
-    which also ends cycles.
+    ``node_table(graph_id, node)``, ``edge_table(graph_id, source, target)``; links to or from other nodes play no part.
+    Nodes are peeled: one whose last incoming link has been followed gets its level, and its own links are followed in the
+    next round.  A round moves the links of the nodes that the one before has freed, and nodes that still wait for others;
+    there are as many rounds as levels.  Graphs with a node that can not be peeled, behind a cycle, are done by
+    ``levels_in_rounds``.
+    """
+    keys = ["graph_id", "node"]
+    nodes = cut(node_table.select(*keys).distinct())
+    end = lambda c: nodes.select("graph_id", F.col("node").alias(c))
+    links = cut(edge_table.select("graph_id", "source", "target").distinct().join(end("target"), ["graph_id", "target"], "left_semi")
+                .join(end("source"), ["graph_id", "source"], "left_semi").repartition("graph_id", "source"))
+    need = cut(links.groupBy("graph_id", F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("_need")).repartition(*keys))
+    frontier = cut(nodes.join(need, keys, "left_anti").withColumn("level", F.lit(0).cast("bigint")))
+    done, waiting, number = frontier, None, 0
+    while not frontier.isEmpty():
+        number += 1
+        met = links.join(frontier.select("graph_id", F.col("node").alias("source"), "level"), ["graph_id", "source"]).select(
+            "graph_id", F.col("target").alias("node"), F.lit(1).cast("bigint").alias("_met"), (F.col("level") + 1).alias("level"))
+        met = (met if waiting is None else met.unionByName(waiting)).groupBy(*keys).agg(
+            F.sum("_met").alias("_met"), F.max("level").alias("level"))
+        touched = cut(met.join(need, keys))
+        frontier = touched.filter("_met = _need").select(*keys, "level")
+        waiting = touched.filter("_met < _need").drop("_need")
+        done = done.unionByName(frontier)
+        if number % 8 == 0:
+            done = cut(done)
+    done = cut(done)
+    tangled = cut(nodes.join(done, keys, "left_anti").select("graph_id").distinct())
+    if tangled.isEmpty():
+        return done
+    return done.join(tangled, "graph_id", "left_anti").unionByName(levels_in_rounds(
+        nodes.join(tangled, "graph_id", "left_semi"), links.join(tangled, "graph_id", "left_semi")))
+
+
+def levels_in_rounds(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """Levels of graphs that may have cycles.
+
+    A node's level rises at most once per round; a graph stops rising after as many rounds as it has nodes, which also ends
+    cycles.
     """
     links = cut(edge_table.select("graph_id", "source", "target").distinct())
     sizes = node_table.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_size"))

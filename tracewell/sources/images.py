@@ -9,8 +9,17 @@ from tracewell import constants as K
 from tracewell.functions.text import let
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path)
+def read_images(spark: SparkSession, path: str, names: str | None = None, most_bytes: int | None = None, since: str | None = None) -> DataFrame:
+    """Files of a folder and those below it: ``path, modificationTime, length, content``.
+
+    File names by a glob pattern, a greatest length and an earliest time of change leave files out before their content is
+    read: the source itself prunes by them.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(path)
+    if most_bytes is not None:
+        files = files.filter(F.col("length") <= most_bytes)
+    return files if since is None else files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
 
 
 def _hex(content: Column, offset: int, size: int) -> Column:
