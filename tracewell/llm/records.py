@@ -49,11 +49,11 @@ END = 1
 NO_ID = (1 << 63) - 1
 MASK = 0xA282EAD8
 #: Words, and parts of words, whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Bytes of texts whose words are looked up together.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 #: Words that are looked up at once.
-STEP = 1 << 18
+STEP = 1 << 16
 #: Words encoded in one call.
 ENCODED = 1024
 #: Bytes that a writer gathers before it appends them.
@@ -249,6 +249,7 @@ def _writer(folder: str, path: str):
         if stream is None:
             return
         stream.close()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
         with files.open_output_stream(own + ".idx") as out:
             out.write(np.array([offsets + [at], tokens + [total]], "<u8").T.tobytes())
         for end in (".bin", ".idx"):
