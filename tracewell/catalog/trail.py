@@ -468,11 +468,9 @@ def g05(t):
 WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 9 <> 0 THEN ts END AS ts FROM events)
 SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id) AS ordinal FROM e""")
 def e07(t):
-    """Undated events last; a user with very many events is numbered day by day."""
+    """Undated events last; a user with very many events, on one day or undated, is numbered range by range."""
     rows = t.events.select("event_id", "user_id", F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("ts"))
-    numbered = ranking.ordinals(
-        rows, ["user_id"], [F.asc_nulls_last("ts"), F.asc("event_id")],
-        [F.unix_date(F.to_date("ts")), F.when(F.col("ts").isNull(), F.expr("event_id div 1000"))])
+    numbered = ranking.range_ordinals(rows, ["user_id"], [F.asc_nulls_last("ts"), F.asc("event_id")])
     return numbered.select("event_id", "ordinal")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType
 
 from tracewell import constants as K
 from tracewell.functions.text import confidence_band, match_terms, negated_terms, round3
-from tracewell.operators.ranking import top_k
+from tracewell.operators.ranking import range_ordinals, top_k
 
 #: Squared weights are kept as whole numbers: sums do not depend on the order of rows.
 SCALE = 1_000_000_000
@@ -245,24 +245,28 @@ def shortlists(claims: DataFrame, scores: DataFrame, records: DataFrame, k: int
     """The record ids an adjudicator may choose from, best first; never one that the claim denies.
 
     Records without any common term score 0 and follow in the order of their ids, so that a reworded claim has
-    a shortlist too.  A claim needs at most as many of them as it has places and denied records, so the library's
-    first ids, one small list, serve all claims.
+    a shortlist too.  Of the numbered library a claim takes the first numbers it does not use yet: when ``m`` counts the
+    used ones (best or denied) in order, ``number - m`` unused ones lie before each, so the j-th unused number is j plus
+    the count of used ones with fewer than j before them.  Those are k counts per claim, however many records it denies.
     """
     order = [F.desc("score"), F.asc("record_id")]
     ranked = top_k(scores.filter((F.col("score") > 0) & ~F.col("conflict")), ["claim_id"], order, k)
-    best = ranked.groupBy("claim_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda r: r["record_id"]).alias("_best"))
-    denied = scores.filter("conflict").groupBy("claim_id").agg(F.collect_set("record_id").alias("_denied"))
-    most = denied.agg(F.coalesce(F.max(F.size("_denied")), F.lit(0)).alias("n")).first()["n"]
-    first = [r["record_id"] for r in records.select("record_id").orderBy("record_id").limit(k + most).collect()]
-    kind = ArrayType(records.schema["record_id"].dataType)
-    none, fill = F.array().cast(kind), F.array(*[F.lit(r) for r in first]).cast(kind)
-    listed = F.slice(F.concat(F.coalesce("_best", none), F.array_except(
-        F.array_except(fill, F.coalesce("_best", none)), F.coalesce("_denied", none))), 1, k)
-    return (
-        claims.select("claim_id").join(best, "claim_id", "left").join(denied, "claim_id", "left")
-        .select("claim_id", listed.alias("shortlist")).filter(F.size("shortlist") > 0)
-    )
+    in_order = lambda place: F.transform(
+        F.array_sort(F.collect_list(F.struct(place, "record_id"))), lambda r: r["record_id"])  # at most k
+    best = ranked.groupBy("claim_id").agg(in_order("rank").alias("_best"))
+    numbered = range_ordinals(records.select("record_id"), [], [F.asc("record_id")], "_at")
+    used = ranked.select("claim_id", "record_id").unionByName(scores.filter("conflict").select("claim_id", "record_id"))
+    placed = range_ordinals(used.join(numbered, "record_id").select("claim_id", "_at"), ["claim_id"], [F.asc("_at")], "_m")
+    passed = placed.groupBy("claim_id").agg(
+        F.array(*[F.count_if(F.col("_at") - F.col("_m") < j) for j in range(1, k + 1)]).alias("_passed"))
+    listed = claims.select("claim_id").join(best, "claim_id", "left").withColumn(
+        "_best", F.coalesce("_best", F.array().cast(ArrayType(records.schema["record_id"].dataType))))
+    wanted = listed.filter(F.size("_best") < k).join(passed, "claim_id", "left").select(
+        "claim_id", "_passed", F.explode(F.sequence(F.lit(1), F.lit(k) - F.size("_best"))).alias("_j"))
+    fill = wanted.select("claim_id", "_j", (F.col("_j") + F.coalesce(F.get("_passed", F.col("_j") - 1), F.lit(0))).alias("_at")).join(
+        numbered, "_at").groupBy("claim_id").agg(in_order("_j").alias("_more"))
+    whole = F.when(F.col("_more").isNull(), F.col("_best")).otherwise(F.concat("_best", "_more"))
+    return listed.join(fill, "claim_id", "left").select("claim_id", whole.alias("shortlist")).filter(F.size("shortlist") > 0)
 
 
 def deterministic_matches(claims: DataFrame, scores: DataFrame, strategy: str = "lexical") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import new_folder
+
 
 def in_range(name: str, value: int, most: int, least: int = 1) -> int:
     """The parameter itself; a value out of range is an error, never changed silently."""
@@ -59,3 +61,27 @@ def ordinals(frame: DataFrame, keys, order, bucket, name: str = "ordinal") -> Da
         .withColumn(name, (F.col("_inner") + F.col("_before")).cast("bigint"))
         .select(*frame.columns, name)
     )
+
+
+def range_ordinals(frame: DataFrame, keys, order, name: str = "ordinal") -> DataFrame:
+    """Exact ``row_number`` per key for keys of any size, where no bucket is known that agrees with the order.
+
+    Rows are dealt by ranges of (key, order), so a hot key lies in several partitions, one range after the other,
+    and written once: a partition's number must not change when a lost task is run again.  Rows are numbered inside
+    (key, partition), and the rows of the key's earlier partitions are added; that table has one row per partition
+    and key in it.  ``order`` should tell all rows of a key apart, or equal ones stay together.
+    """
+    keys, spark = list(keys), frame.sparkSession
+    folder = new_folder(spark, "ranges")
+    frame.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    slot = [*keys, "_part"]
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        rows.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n"))
+        .select(*[F.col(c).alias(f"_o{c}") for c in slot], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in slot])
+    inner = F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
+    return rows.withColumn("_inner", inner).join(offsets, same).select(
+        *frame.columns, (F.col("_inner") + F.col("_before")).cast("bigint").alias(name))
