@@ -13,6 +13,7 @@ from tracewell import constants as K
 from tracewell.functions import pages as P
 from tracewell.functions.text import clamp, clean_lines, let, text_relevance
 from tracewell.functions.urls import domain, url_key
+from tracewell.session import new_folder
 
 
 PASSAGE = "struct<passage_id: string, text: string, kind: string, relevance: double>"
@@ -128,29 +129,25 @@ def snapshots(acquired: DataFrame, as_of: int) -> DataFrame:
 def deduplicate_snapshots(snaps: DataFrame) -> DataFrame:
     """One snapshot per page identity: the best acquired, the earliest on a tie.
 
-    The queries of all copies are kept in order.
+    The queries of all copies are kept in order.  Copies are written once and judged on their narrow columns; only
+    the rows that stay are then looked up in full, so no page text enters the aggregation.
     """
     status = F.when(F.col("acquisition_status") == "acquired", 3.0).when(
         F.col("acquisition_status") == "partial", 2.0).otherwise(1.0)
     quality = status + F.col("extraction_confidence") + F.coalesce("provider_score", F.lit(0.0)) / 10
-    keyed = snaps.withColumn("_key", url_key(F.coalesce("canonical_url", "final_url", "original_url")))
-    names = snaps.columns
+    folder = new_folder(snaps.sparkSession, "copies")
+    snaps.withColumns({
+        "_key": url_key(F.coalesce("canonical_url", "final_url", "original_url")), "_row": F.monotonically_increasing_id(),
+    }).write.parquet(folder)
+    copies = snaps.sparkSession.read.parquet(folder)
     queries = F.array_distinct(F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct("idx", "discovered_by_queries"))),
+        F.array_sort(F.collect_list(F.struct("idx", "discovered_by_queries"))),  # a claim's sources, at most ten
         lambda s: s["discovered_by_queries"],
     )))
-    return (
-        keyed.groupBy("claim_id", "_key")
-        .agg(
-            F.max_by(F.struct(*[n for n in names if n != "claim_id"]), F.struct(quality, -F.col("idx"))).alias("_b"),
-            queries.alias("_queries"),
-        )
-        .select(
-            "claim_id",
-            *[F.col(f"_b.{n}").alias(n) for n in names if n not in ("claim_id", "discovered_by_queries")],
-            F.col("_queries").alias("discovered_by_queries"),
-        )
-    )
+    stays = copies.groupBy("claim_id", "_key").agg(
+        F.max_by("_row", F.struct(quality, -F.col("idx"), -F.col("_row"))).alias("_row"), queries.alias("discovered_by_queries"))
+    wide = copies.drop("claim_id", "_key", "discovered_by_queries")
+    return wide.join(stays, "_row").select(*snaps.columns)
 
 
 def rank_snapshots(snaps: DataFrame) -> DataFrame:
