@@ -10,10 +10,10 @@ from tracewell.catalog import ORACLES, QUERIES
 
 DIRECTORY = "/root/testdata/sf0.001"
 CROSS_SECTION = (
-    "b01_extract_claim", "b03_negated_terms", "e03_candidates", "d18_known_record_match", "c03_vector_nearest", "b07_url_key",
+    "b01_extract_claim", "b03_negated_terms", "e03_candidates", "e03_indexed_candidates", "j03_claim_stream", "d18_known_record_match", "c03_vector_nearest", "b07_url_key",
     "b08_url_policy", "b09_html_integrity", "b14_evidence_dates", "d03_merge_hits", "e02_domain_cap", "e05_top_passages",
     "b33_versions", "e07_chronological_ordinal", "d07_earliest_source", "d20_signals", "h05_forward_reachability", "j01_request_limiter",
-    "a05_image_ledger", "c14_owned_delete",
+    "a05_image_ledger", "c14_owned_delete", "c16_adjudication_merge", "d05_dedup_snapshots",
 )
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else CROSS_SECTION
 

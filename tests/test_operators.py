@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, history, matching, ranking, records
+from tracewell.operators import graph, history, index, matching, ranking, records
 from tracewell.sources import images
 from tracewell.streaming import jobs
 
@@ -44,6 +44,80 @@ def test_ordinals_equal_row_number_on_a_hot_key(spark):
         assert [got[r[2]] for r in ordered] == list(range(1, len(ordered) + 1))
 
 
+def some_library(spark):
+    """3,000 records that all hold one term, a third of them nothing else; negations, aliases, repeated wordings."""
+    random.seed(21)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda i: " ".join(["common", *random.sample(words, random.randint(1, 6)), *(["never", random.choice(words)] if i % 11 == 0 else [])])
+    rows = [(i, "common" if i % 3 == 0 else text(i), [text(i)] if i % 5 == 1 else None) for i in range(3000)]
+    library = spark.createDataFrame(rows, "record_id long, canonical_claim string, aliases array<string>")
+    asked = [(i, text(i)) for i in range(60)] + [(100, "common"), (101, "common unheard"), (102, "never common"), (103, ""), (104, None), (105, "common " + words[0])]
+    return library, spark.createDataFrame(asked, "claim_id long, claim string")
+
+
+def test_index_equals_scoring_all_and_prunes(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK", 64)
+    library, claims = some_library(spark)
+    known = index.library_index(library)
+    every = matching.candidates(matching.lexical_only(matching.lexical_scores(claims, library)))
+    want = sorted((r["claim_id"], r["record_id"], r["rank"], r["score"]) for r in every.collect())
+    found = matching.candidates(index.best_records(claims, known, 4))
+    assert sorted((r["claim_id"], r["record_id"], r["rank"], r["score"]) for r in found.collect()) == want
+    pairs = {r["claim_id"]: r["count"] for r in index.promising(index.profiles(claims, known), known, 4).groupBy("claim_id").count().collect()}
+    assert pairs[100] == pairs[101] == 4  # a term in every record, a thousand of them with equal scores
+    assert sum(pairs.values()) < 0.1 * sum(1 for _ in claims.collect()) * 3000
+    assert known.blocks.filter("term = 'common'").count() == -(-3000 // 64)
+    nothing = index.library_index(library.limit(0))
+    assert index.best_records(claims, nothing, 4).count() == 0 and index.best_records(claims.limit(0), known, 4).count() == 0
+
+
+def test_stream_reads_one_index_and_repeats_no_batch(spark, tmp_path, monkeypatch):
+    """Two runs with one checkpoint: the index is written once, and each claim is in the table once."""
+    library, claims = some_library(spark)
+    built = []
+    monkeypatch.setattr(index, "write_index", lambda r, f, w=index.write_index: built.append(f) or w(r, f))
+    folder = {n: str(tmp_path / n) for n in ("in", "table", "checkpoint", "library")}
+    for part in (claims.filter("claim_id < 30"), claims.filter("claim_id >= 30")):
+        part.coalesce(1).write.mode("append").parquet(folder["in"])
+        stream = spark.readStream.schema(claims.schema).parquet(folder["in"])
+        jobs.match_stream(stream, library, folder["table"], folder["checkpoint"], folder["library"]).awaitTermination()
+    assert len(built) == 1
+    got = spark.read.parquet(folder["table"])
+    want = matching.deterministic_matches(claims, matching.lexical_only(matching.lexical_scores(claims, library)))
+    columns = ["claim_id", "record_id", "confidence", "ambiguous"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert got.select("batch").distinct().count() == 2
+
+
+def test_shortlists_are_filled_past_denied_records(spark):
+    """Brute force: the best, then the library's ids in order without the best and the denied, however many those are."""
+    random.seed(5)
+    library = spark.createDataFrame([(i, "x", None) for i in range(0, 400, 2)], "record_id long, canonical_claim string, aliases array<string>")
+    pairs = {(c, r): (random.random(), random.random() < 0.5) for c in range(12) for r in random.sample(range(0, 400, 2), 3 * c)}
+    pairs |= {(20, r): (0.5, True) for r in range(0, 398, 2)} | {(21, r): (0.5, True) for r in range(0, 400, 2)} | {(22, r): (0.5, False) for r in range(0, 400, 2)}
+    scores = spark.createDataFrame([(c, r, s, d) for (c, r), (s, d) in pairs.items()], "claim_id long, record_id long, score double, conflict boolean")
+    asked = [*range(12), 20, 21, 22, 30]
+    claims = spark.createDataFrame([(c,) for c in asked], "claim_id long")
+    want = {}
+    for c in asked:
+        best = [r for _, r in sorted((-s, r) for (q, r), (s, d) in pairs.items() if q == c and not d)][:6]
+        want[c] = (best + [r for r in range(0, 400, 2) if r not in best and not pairs.get((c, r), (0, False))[1]])[:6]
+    got = {r["claim_id"]: r["shortlist"] for r in matching.shortlists(claims, scores, library, 6).collect()}
+    assert got == {c: ids for c, ids in want.items() if ids} and 21 not in got
+
+
+def test_range_ordinals_on_a_hot_key(spark):
+    """Undated rows and one hot user on one day, spread over several ranges."""
+    rows = [(None if i % 50 == 0 else 1 if i % 9 else 2, None if i % 3 == 0 else i % 4, i) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "k int, v int, i int")
+    got = ranking.range_ordinals(frame, ["k"], [F.asc_nulls_last("v"), F.asc("i")])
+    found = {r["i"]: r["ordinal"] for r in got.collect()}
+    for key in (None, 1, 2):
+        ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        assert [found[r[2]] for r in ordered] == list(range(1, len(ordered) + 1))
+    assert ranking.range_ordinals(frame.limit(0), ["k"], [F.asc("i")]).count() == 0
+
+
 def test_vector_blocks_give_the_same_result(spark, monkeypatch):
     random.seed(2)
     vector = lambda: [random.uniform(-1, 1) for _ in range(4)]

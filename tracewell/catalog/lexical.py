@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell import constants as K
 from tracewell.catalog import sql as S
 from tracewell.catalog.registry import query
 from tracewell.functions import pages as P
 from tracewell.functions import text as T
-from tracewell.operators import discovery, matching
+from tracewell.operators import discovery, index, matching
 from tracewell.operators.ranking import top_k
 
 # ---------------------------------------------------------------- inputs
@@ -248,6 +249,27 @@ def e03(t):
         "claim_id", "record_id", F.col("rank").cast("bigint").alias("rank"), "confidence")
 
 
+@query("e03_indexed_candidates", f"""WITH {CLAIMS},
+terms AS MATERIALIZED (SELECT claim_id, unnest({S.match_terms('claim')}) AS term FROM claims),
+w AS MATERIALIZED (SELECT term, floor(power(ln(((SELECT count(*) FROM claims) + 1e0) / (count(*) + 0.5e0)), 2) * 1e9 + 0.5e0)::BIGINT AS w2 FROM terms GROUP BY term),
+norms AS MATERIALIZED (SELECT claim_id, sum(w2)::BIGINT AS norm FROM terms JOIN w USING (term) GROUP BY 1),
+dots AS (SELECT a.claim_id, b.claim_id AS record_id, sum(w2)::BIGINT AS dot
+  FROM terms a JOIN terms b USING (term) JOIN w USING (term) WHERE a.claim_id % 20 = 0 GROUP BY ALL),
+asserted AS (SELECT claim_id, term FROM terms EXCEPT SELECT claim_id, unnest({S.negated_terms('claim')}) FROM claims),
+denied AS (SELECT claim_id, unnest({S.negated_terms('claim')}) AS term FROM claims WHERE claim_id % 20 = 0),
+refused AS (SELECT DISTINCT d.claim_id, a.claim_id AS record_id FROM denied d JOIN asserted a USING (term)),
+scored AS (SELECT claim_id, record_id, dot / sqrt(r.norm::DOUBLE * q.norm::DOUBLE) AS score
+  FROM dots ANTI JOIN refused USING (claim_id, record_id) JOIN norms q USING (claim_id) JOIN norms r ON r.claim_id = record_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, record_id) AS rank FROM scored WHERE score > 0)
+SELECT claim_id, record_id, rank, {S.round3('score')} AS confidence FROM ranked WHERE rank <= 4""")
+def e03_indexed(t):
+    """The claims of all documents as a library; every document whose id is divisible by 20 asks for its best four."""
+    library = claims(t).select(
+        F.col("claim_id").alias("record_id"), F.col("claim").alias("canonical_claim"), F.array().cast("array<string>").alias("aliases"))
+    best = index.best_records(claims(t).filter(F.col("claim_id") % 20 == 0), index.library_index(library), K.CANDIDATES_KEPT)
+    return matching.candidates(best).select("claim_id", "record_id", F.col("rank").cast("bigint").alias("rank"), "confidence")
+
+
 @query("e03_ambiguity", f"""WITH {TOP}
 SELECT claim_id, record_id, {S.round3('score')} AS confidence, {S.round3('score - runner_up')} AS margin, ambiguous FROM judged""")
 def e03_ambiguity(t):

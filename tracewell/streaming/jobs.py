@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.text import extract_claim
-from tracewell.operators import matching
+from tracewell.operators import index, matching
 from tracewell.session import new_folder, table
 
 
@@ -56,16 +56,18 @@ def limited_stream(events: DataFrame, window_seconds: int = 60, limit: int = 60)
         outputMode="Append", timeMode="None")
 
 
-def match_stream(claims: DataFrame, records: DataFrame, target: str, checkpoint: str):
+def match_stream(claims: DataFrame, records: DataFrame, target: str, checkpoint: str, library: str):
     """Match arriving ``(claim_id, claim)`` rows to a static library and append them to a table.
 
-    Each micro-batch is an ordinary batch job; the batch number is a partition that a
-    repeated batch overwrites, so a restart after a lost driver leaves no duplicates.
+    ``library`` is the folder of one version of the library's index: the first run writes it, every micro-batch and
+    every later run only reads it.  Each micro-batch is an ordinary batch job; the batch number is a partition that
+    a repeated batch overwrites, so a restart after a lost driver leaves no duplicates.
     """
+    known = index.kept_index(records, library)
+
     def append(batch: DataFrame, number: int) -> None:
-        scores = matching.lexical_only(matching.lexical_scores(batch, records))
-        matched = matching.deterministic_matches(batch, scores)
-        matched.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        best = index.best_records(batch, known, 2)  # the record and its runner-up
+        matching.deterministic_matches(batch, best).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
         claims.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
@@ -82,5 +84,5 @@ def match_conversations(spark: SparkSession, directory: str) -> DataFrame:
     records = table(spark, directory, "benchmark").select(
         F.col("item_id").alias("record_id"), F.col("text").alias("canonical_claim"),
         F.array().cast("array<string>").alias("aliases"))
-    match_stream(claims, records, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    match_stream(claims, records, f"{folder}/table", f"{folder}/checkpoint", f"{folder}/library").awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("claim_id", "record_id", "confidence", "strategy")
