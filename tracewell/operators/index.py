@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import match_terms, negated_terms
-from tracewell.operators.matching import library_texts, term_weights, unseen_weight
+from tracewell.operators.matching import library_texts, text_count, unseen_weight, weigh_terms
 from tracewell.operators.ranking import range_ordinals, top_k
 from tracewell.session import cut, new_folder
 
@@ -47,18 +47,19 @@ def write_index(records: DataFrame, folder: str) -> None:
     A folder is one version of a library.  The table of terms is written last: where it stands, the others are whole.
     """
     spark = records.sparkSession
-    wordings = library_texts(records).select("record_id", "text_no", match_terms(F.col("text")).alias("terms"))
-    wordings.write.mode("overwrite").parquet(f"{folder}/wordings")
+    text = F.col("text")
+    asserted = F.when(F.col("text_no") == 0, F.array_except(match_terms(text), negated_terms(text)))
+    library_texts(records).select("record_id", "text_no", match_terms(text).alias("terms"), asserted.alias("asserted")).write.mode(
+        "overwrite").parquet(f"{folder}/wordings")  # the library's text is read once
     wordings = spark.read.parquet(f"{folder}/wordings")
     spread = wordings.select("record_id", "text_no", F.explode("terms").alias("term"))
-    term_weights(library_texts(records)).select("term", "df", "w2").write.mode("overwrite").parquet(f"{folder}/weights")
+    weigh_terms(spread.select("term"), text_count(wordings)).select("term", "df", "w2").write.mode("overwrite").parquet(f"{folder}/weights")
     weights = spark.read.parquet(f"{folder}/weights")
     norms = spread.join(weights, "term").groupBy("record_id", "text_no").agg(F.sum("w2").alias("norm"))
-    asserted = records.select("record_id", F.lit(True).alias("denied"), F.explode(F.array_except(
-        match_terms(F.col("canonical_claim")), negated_terms(F.col("canonical_claim")))).alias("term"))
+    denied = wordings.select("record_id", F.lit(True).alias("denied"), F.explode("asserted").alias("term"))
     (
         spread.join(norms, ["record_id", "text_no"]).withColumn("denied", F.lit(False)).unionByName(
-            asserted.withColumns({"text_no": F.lit(-1), "norm": F.lit(None).cast("bigint")}))
+            denied.withColumns({"text_no": F.lit(-1), "norm": F.lit(None).cast("bigint")}))
         .write.mode("overwrite").parquet(f"{folder}/texts")
     )
     listed = (
@@ -136,22 +137,25 @@ def pair_scores(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
 def promising(asked: DataFrame, index: Index, k: int) -> DataFrame:
     """``claim_id, record_id``: all pairs that can be among the best ``k`` of a claim, and few others.
 
-    Terms go from rare to frequent.  A record is weighed at the first of them that it holds: its share there, plus the
-    greatest shares of all later terms, bounds its score.  The bound to reach is the k-th best full score among the
+    Terms go from rare to frequent.  A wording is weighed at the first of them that it holds: its share there plus the
+    greatest shares of all later terms bounds its score, and so does its share if it held all later terms too.  The bound to reach is the k-th best full score among the
     records at the heads of the claim's lists; at a claim's last term, where share and score are one, equal scores are
     told apart by id.  A claim with fewer than ``k`` such records reads its lists whole.
     """
     order = [F.desc("score"), F.asc("record_id")]
     parts = asked.select("claim_id", "weights", "claim_norm", F.posexplode("weights").alias("_i", "_w")).select(
         "claim_id", "claim_norm", F.col("_w.term").alias("term"), F.col("_w.w2").alias("w2"),
-        _sum(F.slice("weights", F.col("_i") + 2, F.size("weights")), lambda w: w["w2"] / F.sqrt(w["shortest"].cast("double")), F.lit(0.0)).alias("rest"))
+        _sum(F.slice("weights", F.col("_i") + 2, F.size("weights")), lambda w: w["w2"] / F.sqrt(w["shortest"].cast("double")), F.lit(0.0)).alias("rest"),
+        _sum(F.slice("weights", F.col("_i") + 1, F.size("weights")), lambda w: w["w2"], F.lit(0).cast("bigint")).alias("tail"))
     heads = parts.join(index.postings.filter(F.col("position") <= TRIED * k), "term").groupBy("claim_id", "record_id").agg(
         F.sum(F.floor(F.col("w2") / F.sqrt(F.col("norm").cast("double")))).alias("score"))
     tried = top_k(heads, ["claim_id"], order, TRIED * k).select("claim_id", "record_id")
     floors = top_k(pair_scores(tried, asked, index), ["claim_id"], order, k).filter(F.col("rank") == k).select(
         "claim_id", F.col("score").alias("floor"), F.col("record_id").alias("last"))
     alone = _cosine(F.col("w2"))
-    bound = (F.col("w2") / F.sqrt(F.col("norm").cast("double")) + F.col("rest")) / F.sqrt(F.col("claim_norm").cast("double"))
+    bound = F.least(
+        (F.col("w2") / F.sqrt(F.col("norm").cast("double")) + F.col("rest")) / F.sqrt(F.col("claim_norm").cast("double")),
+        _cosine(F.col("tail")))
     reaches = F.col("floor").isNull() | F.when(F.col("rest") > 0, bound >= F.col("floor") * F.lit(1 - SLACK)).otherwise(
         (alone > F.col("floor")) | ((alone == F.col("floor")) & (F.col("record_id") <= F.col("last"))))
     blocks = parts.join(floors, "claim_id", "left").join(index.blocks, "term").filter(reaches).drop("record_id", "norm")

@@ -33,14 +33,13 @@ def _square(value: Column) -> Column:
     return F.floor(value * value * F.lit(float(SCALE)) + F.lit(0.5)).cast("bigint")
 
 
-def _text_count(texts: DataFrame) -> Column:
+def text_count(texts: DataFrame) -> Column:
     return texts.select(F.count(F.lit(1)).cast("double")).scalar()
 
 
-def term_weights(texts: DataFrame) -> DataFrame:
-    """Document frequency, IDF and squared weight of every library term."""
-    terms = texts.select(F.explode(match_terms(F.col("text"))).alias("term"))
-    idf = F.log((_text_count(texts) + F.lit(1.0)) / (F.col("df") + F.lit(0.5)))
+def weigh_terms(terms: DataFrame, texts: Column) -> DataFrame:
+    """``term, df, idf, w2`` of a table with one row per text and term, for a number of texts."""
+    idf = F.log((texts + F.lit(1.0)) / (F.col("df") + F.lit(0.5)))
     return (
         terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", idf)
@@ -48,9 +47,14 @@ def term_weights(texts: DataFrame) -> DataFrame:
     )
 
 
+def term_weights(texts: DataFrame) -> DataFrame:
+    """Document frequency, IDF and squared weight of every library term."""
+    return weigh_terms(texts.select(F.explode(match_terms(F.col("text"))).alias("term")), text_count(texts))
+
+
 def unseen_weight(texts: DataFrame) -> Column:
     """Squared weight of a term the library does not know."""
-    return _square(F.log((_text_count(texts) + F.lit(1.0)) / F.lit(0.5)))
+    return _square(F.log((text_count(texts) + F.lit(1.0)) / F.lit(0.5)))
 
 
 def postings(records: DataFrame) -> DataFrame:
