@@ -137,3 +137,10 @@ def test_measures_of_small_texts(text):
     ws, lines = text.split(), [x for x in text.splitlines() if x]
     assert got["log_words"] == np.log1p(len(ws)) and got["distinct_words"] == (len(set(ws)) / len(ws) if ws else 1)
     assert got["distinct_lines"] == (len(set(lines)) / len(lines) if lines else 1)
+
+
+def test_no_language_to_learn_from(spark):
+    rows = [(d, t, None, s, n) for d, t, _, s, n in odd_rows()]
+    kept = language_crf.known_language(documents(spark, rows), 0.4)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    assert kept.columns == documents(spark, rows).columns

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import records
+from tracewell.llm.tables import settings
 
 from .helpers import SCHEMA, documents, odd_rows
 
@@ -64,6 +65,15 @@ def test_files_and_shuffled_reads(spark, tmp_path):
     assert same[::2] == same[1::2] and again.count() == len(parts)
 
 
+def test_a_repeated_id_fills_several_parts(spark, tmp_path):
+    rows = [(None if i % 2 else 5, f"{i * 37 % 211} text {i}", "en", "a", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        parts = records.write(docs, folder=str(tmp_path / "out")).collect()
+    assert len(parts) > 2 and max(r.records for r in parts) < 200
+    assert sorted(map(tuple, records.token_records(docs).collect()), key=lambda r: r[1]) == plain(rows)
+
+
 def test_small_word_tables_and_steps(spark, monkeypatch):
     import pyarrow as pa
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -22,6 +23,28 @@ def test_odd_rows(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def plain_shard(key, weights):
+    """Lowest score by a plain loop over hashes that Spark gives for (key, shard)."""
+    return min(range(len(weights)), key=lambda i: (-math.log(((key[i] % 2**64 >> 11) + 0.5) / 2.0**53) / weights[i], i))
+
+
+def test_plain_rendezvous(spark):
+    weights = [1.0, 2.0, 0.5, 1.0]
+    keys = spark.createDataFrame([(None,), *[(i * 7919,) for i in range(300)]], "doc_id long").withColumn("text", F.lit("t"))
+    hashes = F.array(*[F.xxhash64("doc_id", F.lit(i)) for i in range(5)]).alias("hashes")
+    want = {r.doc_id: (plain_shard(r.hashes, weights), plain_shard(r.hashes, [*weights, 1.0])) for r in keys.select("doc_id", hashes).collect()}
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(keys, weights).collect()} == want
+
+
+def test_a_repeated_key_is_spread_over_buckets(spark):
+    docs = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = sharding.shard(docs)
+    assert len({r.shard for r in rows.collect()}) == 1 and sorted(r.slot for r in rows.collect()) == list(range(5_000))
+    sizes = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text").cast("long") + 1, F.crc32(F.col("text").cast("binary"))),
+                               F.lit(sharding.BUCKETS)).alias("b")).groupBy("b").count()
+    assert sizes.agg(F.max("count")).first()[0] < 20
+
+
 def test_even_stable_and_growing(spark):
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     rows = sharding.shard(docs).collect()

@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         done = folder
         edges, folder = written_at(small, "links")
         discard(done)
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if state == before:
             ends = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
             return ends.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

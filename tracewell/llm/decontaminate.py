@@ -6,8 +6,9 @@ pieces, at least one piece stands unchanged in any such copy.  Pieces are found
 piece length; each hit names a stretch of the text, where Myers' bit-parallel algorithm finds the smallest
 distance of the whole item to any part of it.  A hit within the budget is a match.
 
-Test items are a stated query set: they go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over the
-documents for each block; documents are never shuffled, and a text is handled by itself.
+Test items are a stated query set: they go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one job over the
+documents for each block, whose result is written before the next block is read; driver and tasks hold one block at a
+time.  Documents are never shuffled, and a text is handled by itself.
 
 Defined results: null or empty texts and items match nothing; equal items all match; an item of fewer words than
 1 / ERRORS has no budget and must occur exactly; rows that repeat an id are judged each; an empty table on
@@ -17,7 +18,6 @@ either side gives no match; other columns pass through where documents are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tracewell.llm import words
-from tracewell.llm.tables import free_name
+from tracewell.llm.tables import free_name, written
 
 #: Share of an item's words that may differ (similarity 0.8).
 ERRORS = 0.2
@@ -153,9 +153,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _matcher(spark, block: list[tuple[int, str]], errors: float):
-    shared = spark.sparkContext.broadcast(block)
-
+def _matcher(shared, errors: float):
     @arrow_udf(MATCHES)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value, errors)
@@ -169,23 +167,38 @@ def _matcher(spark, block: list[tuple[int, str]], errors: float):
     return match
 
 
-def matches_of(text: Column, benchmark: DataFrame, errors: float = ERRORS) -> Column:
-    """The matches of a text column against all test items."""
-    spark = benchmark.sparkSession
-    found = [_matcher(spark, block, errors)(text) for block in _blocks(benchmark)]
-    if not found:
-        return F.array().cast(MATCHES)
-    return reduce(lambda a, b: F.concat(a, b), found)
+def _jobs(benchmark: DataFrame, errors: float) -> Iterator[tuple[Column, bool]]:
+    """For each block of test items the matches of a document's text, and whether another block follows.
+
+    What is made of a column must be written before the next one is asked for, which frees the block.
+    """
+    context = benchmark.sparkSession.sparkContext
+    blocks = _blocks(benchmark)
+    block = next(blocks, None)
+    while block is not None:
+        shared = context.broadcast(block)
+        block = next(blocks, None)
+        yield _matcher(shared, errors)(F.coalesce("text", F.lit(""))), block is not None
+        if block is not None:
+            shared.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
     """``doc_id, item_id, distance, first_word, last_word`` for every document and test item found in it."""
-    found = docs.select("doc_id", matches_of(F.coalesce("text", F.lit("")), benchmark, errors).alias("found"))
-    return found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+    found = None
+    for matches, more in _jobs(benchmark, errors):
+        rows = docs.select("doc_id", matches.alias("found")).select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+        rows = written(rows, "matches") if more else rows
+        found = rows if found is None else found.union(rows)
+    if found is None:  # no test item
+        return docs.select("doc_id", F.explode(F.array().cast(MATCHES)).alias("m")).select("doc_id", "m.*")
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows and columns of ``docs`` in which no test item is found."""
+    """The rows and columns of ``docs`` in which no test item is found; each block judges what the others kept."""
     name = free_name(docs, "found_items")
-    return docs.withColumn(name, matches_of(F.coalesce("text", F.lit("")), benchmark, errors)).filter(
-        F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    for matches, more in _jobs(benchmark, errors):
+        kept = docs.withColumn(name, matches).filter(F.size(name) == 0).drop(name)
+        docs = written(kept, "clean") if more else kept
+    return docs

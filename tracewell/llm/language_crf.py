@@ -348,8 +348,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float) -> DataFrame:
-    """The rows and columns of ``docs`` whose language is known with a score of at least ``least``."""
+    """The rows and columns of ``docs`` whose language is known with a score of at least ``least``.
+
+    Where no row has a language to learn from, no text can be rejected for its language: those with a letter stay.
+    """
     field = train(*sample(docs, F.lit(True)))
+    if field is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     name = free_name(docs, "found_language")
     return docs.withColumn(name, language_of(F.col("text"), docs.sparkSession, field)).filter(
         (F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,8 +6,8 @@ set of shards decide: one more shard wins only the records that now score lowest
 from one old shard into another.  Scores are computed in the row; nothing is gathered.
 
 Records of a shard are numbered without a gap and without one task per shard: each shard is cut into ``BUCKETS``
-hash buckets, rows are numbered inside a bucket, and the counts of earlier buckets (a table of at most
-shards x BUCKETS rows) are added.
+buckets by a hash of key and text, which spreads rows of one repeated key too; rows are numbered inside a bucket, and
+the counts of earlier buckets (a table of at most shards x BUCKETS rows) are added.
 
 Defined results: a null text has no bytes; rows without a key share one shard; rows that repeat key and text
 get slots of their own, in either order; an empty table gives an empty result; other columns play no part.
@@ -45,8 +45,7 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, added: fl
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"), assign(F.col("doc_id"), weights).alias("shard"),
         assign(F.col("doc_id"), [*weights, added]).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    )
+    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows")).select(
