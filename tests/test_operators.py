@@ -4,9 +4,10 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, history, index, matching, ranking, records
+from tracewell.operators import graph, history, index, matching, ranking, records, vectors
 from tracewell.sources import images
 from tracewell.streaming import jobs
 
@@ -118,6 +119,31 @@ def test_range_ordinals_on_a_hot_key(spark):
     assert ranking.range_ordinals(frame.limit(0), ["k"], [F.asc("i")]).count() == 0
 
 
+def test_clusters_out_of_reach_are_not_joined(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 8))
+    around = lambda n: (middles[rng.integers(0, 20, n)] + rng.normal(scale=0.02, size=(n, 8))) * rng.uniform(0.5, 3, (n, 1))
+    known, asked = np.vstack([around(900), np.zeros((2, 8))]), np.vstack([around(60), np.zeros((1, 8))])
+    library = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(known)], "record_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "claim_id long, embedding array<double>")
+    found = vectors.nearest(queries.withColumn("also", F.array(F.lit(901).cast("long"))), library, 3, 40).filter("rank <= 3").collect()
+    length = lambda m: np.linalg.norm(m, axis=1)
+    scale = np.outer(length(asked), length(known))
+    cosine = np.divide(asked @ known.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    for i, row in enumerate(cosine):
+        best = sorted((-round(s, 9), j) for j, s in enumerate(row))[:3]
+        got = sorted((-round(r.semantic, 9), r.record_id) for r in found if r.claim_id == i)
+        assert [s for s, _ in got] == [s for s, _ in best] and (i == 60 or got == best)
+    index = vectors.build(library, 40)
+    members = sum(np.isfinite(index.radii))
+    limits = queries.filter("claim_id < 60").join(spark.createDataFrame(
+        [(i, float(np.sort(r)[-3])) for i, r in enumerate(cosine)], "claim_id long, third double"), "claim_id")
+    left = limits.select(F.explode(vectors.clusters_of(index, F.col("embedding"), F.col("third")))).count()
+    assert members > 10 and left < 0.3 * 60 * (members - vectors.PROBES)
+    for few in (library.limit(0), library.filter("record_id >= 900")):
+        assert vectors.nearest(queries.withColumn("also", F.array().cast("array<long>")), few, 3, 40).count() == 61 * few.count()
+
+
 def test_vector_blocks_give_the_same_result(spark, monkeypatch):
     random.seed(2)
     vector = lambda: [random.uniform(-1, 1) for _ in range(4)]

@@ -8,14 +8,13 @@ from the measured size; a large library is joined by shuffle with skew splitting
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from tracewell import constants as K
 from tracewell.functions.text import confidence_band, match_terms, negated_terms, round3
+from tracewell.operators import vectors
 from tracewell.operators.ranking import range_ordinals, top_k
 
 #: Squared weights are kept as whole numbers: sums do not depend on the order of rows.
@@ -137,68 +136,27 @@ def polarity_conflicts(claims: DataFrame, records: DataFrame, claim: str = "clai
 
 # ---------------------------------------------------------------- semantic layer
 
-#: Vectors in one block of queries or of the library, on average.
+#: Vectors of the library in one block, on average, and queries that meet it in one task.
 BLOCK_ROWS = 2048
 
 
-def _blocks(rows: DataFrame, identity: str) -> tuple[Column, Column]:
-    """The number of blocks that a table needs, and a row's own block; both are known when the query runs."""
-    count = F.greatest(F.ceil(rows.select(F.count(F.lit(1))).scalar() / F.lit(float(BLOCK_ROWS))), F.lit(1)).cast("int")
-    return count, F.pmod(F.xxhash64(identity), count).cast("int")
-
-
 def vector_scores(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
     """``claim_id, record_id, semantic``: the records of the ``k`` best cosines of each query vector.
 
     ``queries(claim_id, embedding[, also])``, ``library(record_id, embedding)``; a record's score is the best
-    over its vectors.  Records named in ``also`` are scored too, whatever their rank.  Both sides are hashed into
-    blocks; every pair of blocks is one group, one matrix product on an executor, and only ``k`` records per
-    query (and those asked for) leave it.  A record's vectors may lie in several blocks: a record among the best
-    has its best vector in one of them, where it is among the best too, so the maxima over blocks are exact.
+    over its vectors.  Records named in ``also`` are scored too, whatever their rank.  Clusters that can not hold any of
+    them are never read for a query; every block of a cluster and the queries that meet it are one matrix product on an
+    executor, and only ``k`` records per query (and those asked for) leave it.  A record's vectors may lie in several
+    blocks: a record among the best has its best vector in one of them, where it is among the best too, so the maxima
+    over blocks are exact.
     """
-    claim_type = queries.schema["claim_id"].dataType.simpleString()
     record_type = library.schema["record_id"].dataType.simpleString()
     if "also" not in queries.columns:
         queries = queries.withColumn("also", F.array().cast(f"array<{record_type}>"))
-    queries = queries.select("claim_id", "embedding", "also")
-    library = library.select("record_id", "embedding", F.xxhash64("record_id", "embedding").alias("_place"))
-    query_blocks, query_block = _blocks(queries, "claim_id")
-    library_blocks, library_block = _blocks(library, "_place")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = queries.withColumn("_q", query_block).withColumn("_l", every(library_blocks))
-    right = library.withColumn("_l", library_block).drop("_place").withColumn("_q", every(query_blocks))
-
-    def score(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if not len(asked) or not len(known):
-            return pa.table({"claim_id": asked["claim_id"][:0], "record_id": known["record_id"][:0], "semantic": pa.array([], pa.float64())})
-        table = lambda t: np.array(t["embedding"].to_pylist(), dtype="float64")
-        names = known["record_id"].to_numpy()
-        order = np.argsort(names, kind="stable")
-        names, m, q = names[order], table(known)[order], table(asked)
-        scale = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
-        cosine = np.divide(q @ m.T, scale, out=np.zeros_like(scale), where=scale > 0)
-        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-        best, names = np.maximum.reduceat(cosine, starts, axis=1), names[starts]
-        wanted = np.zeros(best.shape, bool)
-        np.put_along_axis(wanted, np.argsort(-best, axis=1, kind="stable")[:, :k], True, axis=1)
-        place = {n: i for i, n in enumerate(names.tolist())}
-        for i, also in enumerate(asked["also"].to_pylist()):
-            for name in also or ():
-                if name in place:
-                    wanted[i, place[name]] = True
-        rows, columns = np.nonzero(wanted)
-        return pa.table({
-            "claim_id": asked["claim_id"].take(pa.array(rows)), "record_id": pa.array(names[columns], known.schema.field("record_id").type),
-            "semantic": best[rows, columns]})
-
-    pairs = left.groupBy("_q", "_l").cogroup(right.groupBy("_q", "_l")).applyInArrow(
-        score, f"claim_id {claim_type}, record_id {record_type}, semantic double")
-    found = pairs.groupBy("claim_id", "record_id").agg(F.max("semantic").alias("semantic"))
-    ranked = found.withColumn("_n", F.row_number().over(
-        Window.partitionBy("claim_id").orderBy(F.desc("semantic"), F.asc("record_id"))))
+    found = vectors.nearest(queries, library, k, BLOCK_ROWS)
     asked = queries.select("claim_id", F.explode("also").alias("record_id")).distinct().withColumn("_asked", F.lit(True))
-    return ranked.join(asked, ["claim_id", "record_id"], "left").filter(
-        (F.col("_n") <= k) | F.col("_asked")).select("claim_id", "record_id", "semantic")
+    return found.join(asked, ["claim_id", "record_id"], "left").filter(
+        (F.col("rank") <= k) | F.col("_asked")).select("claim_id", "record_id", "semantic")
 
 
 def hybrid_scores(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
