@@ -7,8 +7,12 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, history, index, matching, ranking, records, vectors
+from tracewell.catalog import trail
+from tracewell.catalog.registry import Inputs
+from tracewell.functions import patterns
+from tracewell.operators import compare, graph, history, index, matching, ranking, records, vectors, versions
 from tracewell.sources import images
+from tracewell.session import TABLE_PARTITIONS
 from tracewell.streaming import jobs
 
 
@@ -300,3 +304,52 @@ def test_an_investigation_of_given_pages(spark):
         assert r.trace_status in ("UNTRACED", "PARTIALLY_TRACED", "TRACED") and len(r.candidates) <= 4
         assert [c.confidence for c in r.candidates] == sorted((c.confidence for c in r.candidates), reverse=True)
     assert any(f.startswith("comparisons:") for r in rows for f in r.found)
+
+
+def some_events(spark, tmp_path, number):
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 20)) for i in range(number)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    return Inputs(spark, str(tmp_path))
+
+
+def test_sources_of_one_file_are_dealt_over_all_partitions_of_a_shuffle(spark, tmp_path):
+    t = some_events(spark, tmp_path, 400)
+    kept = spark.conf.get(TABLE_PARTITIONS)
+    spark.conf.unset(TABLE_PARTITIONS)
+    try:
+        sizes = trail.snapshots(t).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.set(TABLE_PARTITIONS, kept)
+    assert sum(sizes) == 400 and sum(n > 0 for n in sizes) >= 6
+
+
+def test_pairs_are_made_from_one_reading_of_the_versions(spark, tmp_path):
+    bound = trail.bound(some_events(spark, tmp_path, 100))
+    paired = compare.pairs(bound)
+    plan = paired._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("events.parquet") == bound._jdf.queryExecution().optimizedPlan().toString().count("events.parquet")
+    rows = bound.select("claim_id", "source_id", "ordinal").collect()
+    expected = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2])
+    assert expected and sorted(map(tuple, paired.select("claim_id", "l.source_id", "r.source_id").collect())) == expected
+
+
+def test_passages_are_scored_once(spark, tmp_path):
+    """A filter on the chosen passage would be pushed below it, with all that chooses it."""
+    t = some_events(spark, tmp_path, 10)
+    plan = versions.select_passages(trail.snapshots(t), trail.claims(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 1
+
+
+def test_patterns_mean_the_same_with_and_without_other_alphabets(spark):
+    random.seed(5)
+    pieces = ["may", "É", "été", "_", " ", "\t", " ", " ", "\x1f", "maybe", "AND may", "mayé", "3may", "ſ", "K", "at least", "-", "\n"]
+    texts = ["".join(random.choices(pieces, k=random.randint(0, 6))) for _ in range(600)] + [None, ""]
+    frame = spark.createDataFrame([(x,) for x in texts], "x string")
+    x = F.col("x")
+    for pattern in (r"\bmay\b", r"\bat\s+least\b", r"^\S+\s", r"\b(?:may|and)\s*\b"):
+        for ignore_case in (True, False):
+            general = x.rlike(patterns.java(pattern, ignore_case))
+            assert frame.filter(~patterns.found(x, pattern, ignore_case).eqNullSafe(general)).count() == 0
+            taken = F.regexp_extract(x, patterns.java(pattern, ignore_case), 0)
+            fast = patterns.by_alphabet(x, pattern, ignore_case, lambda p: F.regexp_extract(x, p, 0))
+            assert frame.filter(~taken.eqNullSafe(fast)).count() == 0
