@@ -353,3 +353,18 @@ def test_patterns_mean_the_same_with_and_without_other_alphabets(spark):
             taken = F.regexp_extract(x, patterns.java(pattern, ignore_case), 0)
             fast = patterns.by_alphabet(x, pattern, ignore_case, lambda p: F.regexp_extract(x, p, 0))
             assert frame.filter(~taken.eqNullSafe(fast)).count() == 0
+
+
+def test_claim_stream_reads_a_table_of_several_files(spark, tmp_path):
+    turns = [(i, 0, "user", f"The bridge number {i} was closed by a storm.") for i in range(20)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    items = spark.createDataFrame([(1, "The bridge number 3 was closed by a storm."), (2, "Bread is sold.")], "item_id long, text string")
+    for name, parts in (("one", 1), ("folder", 4)):
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        frame.repartition(parts).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+    file = next((tmp_path / "one" / "conversations.parquet").glob("*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "conversations.parquet").write_bytes(file.read_bytes())
+    items.write.parquet(f"{tmp_path}/file/benchmark.parquet")
+    got = [sorted(map(tuple, jobs.match_conversations(spark, f"{tmp_path}/{name}").collect())) for name in ("file", "one", "folder")]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 20

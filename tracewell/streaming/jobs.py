@@ -79,7 +79,8 @@ def match_conversations(spark: SparkSession, directory: str) -> DataFrame:
     """Conversation turns as a file stream, worked off once; the result is the written table."""
     folder = new_folder(spark, "claims")
     turns = table(spark, directory, "conversations")
-    stream = spark.readStream.schema(turns.schema).option("pathGlobFilter", "conversations.parquet").parquet(directory)
+    # a glob: the table may be one file or a folder of files, and a stream takes a plain path for a folder
+    stream = spark.readStream.schema(turns.schema).parquet(f"{directory}/conversations.parque[t]")
     claims = stream.select(F.concat_ws("-", "conv_id", "turn").alias("claim_id"), extract_claim(F.col("text")).alias("claim"))
     records = table(spark, directory, "benchmark").select(
         F.col("item_id").alias("record_id"), F.col("text").alias("canonical_claim"),
