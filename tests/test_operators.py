@@ -306,14 +306,14 @@ def test_an_investigation_of_given_pages(spark):
     assert any(f.startswith("comparisons:") for r in rows for f in r.found)
 
 
-def some_events(spark, tmp_path, number):
+def events_table(spark, tmp_path, number):
     rows = [(i, dt.datetime(2024, 1, 1 + i % 20)) for i in range(number)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     return Inputs(spark, str(tmp_path))
 
 
 def test_sources_of_one_file_are_dealt_over_all_partitions_of_a_shuffle(spark, tmp_path):
-    t = some_events(spark, tmp_path, 400)
+    t = events_table(spark, tmp_path, 400)
     kept = spark.conf.get(TABLE_PARTITIONS)
     spark.conf.unset(TABLE_PARTITIONS)
     try:
@@ -324,7 +324,7 @@ def test_sources_of_one_file_are_dealt_over_all_partitions_of_a_shuffle(spark, t
 
 
 def test_pairs_are_made_from_one_reading_of_the_versions(spark, tmp_path):
-    bound = trail.bound(some_events(spark, tmp_path, 100))
+    bound = trail.bound(events_table(spark, tmp_path, 100))
     paired = compare.pairs(bound)
     plan = paired._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("events.parquet") == bound._jdf.queryExecution().optimizedPlan().toString().count("events.parquet")
@@ -335,7 +335,7 @@ def test_pairs_are_made_from_one_reading_of_the_versions(spark, tmp_path):
 
 def test_passages_are_scored_once(spark, tmp_path):
     """A filter on the chosen passage would be pushed below it, with all that chooses it."""
-    t = some_events(spark, tmp_path, 10)
+    t = events_table(spark, tmp_path, 10)
     plan = versions.select_passages(trail.snapshots(t), trail.claims(t))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_sort") == 1
 
