@@ -38,6 +38,20 @@ def test_scores_do_not_depend_on_partitioning(spark):
     assert once == again
 
 
+def test_claims_are_dealt_by_the_pairs_they_can_make(spark, monkeypatch):
+    """Narrow claims with many pairs: the parts grow with the claims, and their number is one that AQE leaves alone."""
+    library = spark.createDataFrame([(i, f"w{i} shared words here", ["shared w1"]) for i in range(20)],
+                                    "record_id long, canonical_claim string, aliases array<string>")
+    claims = spark.createDataFrame([(i, f"shared w{i % 7} here") for i in range(60)], "claim_id long, claim string")
+    want = sorted(map(tuple, matching.lexical_scores(claims, library).collect()))
+    monkeypatch.setattr(matching, "PART_CLAIMS", 2)
+    monkeypatch.setattr(matching, "PART_PAIRS", 80)
+    assert matching.claim_parts(claims, library) == 30  # 60 claims, 40 wordings
+    found = matching.lexical_scores(claims, library)
+    assert ", 30), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_ordinals_equal_row_number_on_a_hot_key(spark):
     random.seed(1)
     rows = [(random.choice([1, 1, 1, 2]), random.randint(0, 500), i) for i in range(2000)]
