@@ -347,6 +347,17 @@ def test_pairs_are_made_from_one_reading_of_the_versions(spark, tmp_path):
     assert expected and sorted(map(tuple, paired.select("claim_id", "l.source_id", "r.source_id").collect())) == expected
 
 
+def test_a_comparison_is_worked_out_once_for_its_changes(spark, tmp_path):
+    """A condition that the list of changes is not empty would be pushed below the comparison, with all that makes it."""
+    compared = compare.compare_pairs(compare.pairs(trail.bound(events_table(spark, tmp_path, 100))))
+    changes = compare.changes_of(compared)
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("context_removed") == 1
+    rows = compared.select("claim_id", "from_source_id", "to_source_id", "changes").collect()
+    expected = sorted((r[0], r[1], r[2], i, c["type"]) for r in rows for i, c in enumerate(r[3]))
+    assert expected and any(not r[3] for r in rows)
+    assert sorted(map(tuple, changes.select("claim_id", "from_source_id", "to_source_id", "ord", "type").collect())) == expected
+
+
 def test_passages_are_scored_once(spark, tmp_path):
     """A filter on the chosen passage would be pushed below it, with all that chooses it."""
     t = events_table(spark, tmp_path, 10)
