@@ -90,6 +90,24 @@ def test_index_equals_scoring_all_and_prunes(spark, monkeypatch):
     assert index.best_records(claims, nothing, 4).count() == 0 and index.best_records(claims.limit(0), known, 4).count() == 0
 
 
+def test_pieces_of_the_index_are_scored_without_a_table_of_pairs(spark, monkeypatch):
+    """Small pieces met by few claims at a time, repeated claims and null ids; no plan moves pairs of a claim and a record."""
+    monkeypatch.setattr(index, "PIECE", 200)
+    monkeypatch.setattr(index, "PIECE_CLAIMS", 7)
+    library, claims = some_library(spark)
+    library = library.union(library.limit(5).withColumn("record_id", F.lit(None).cast("long")))
+    claims = claims.union(claims.filter("claim_id % 5 = 0"))
+    known = index.library_index(library)
+    asked = index.profiles(claims, known)
+    every = library.filter("record_id IS NOT NULL").select("record_id").distinct().crossJoin(asked.select("claim_id"))
+    want = matching.top_k(index.pair_scores(every, asked, known), ["claim_id"], [F.desc("score"), F.asc("record_id")], 4)
+    best = index.best_records(claims, known, 4)
+    columns = ["claim_id", "record_id", "score"]
+    assert known.pieces.select("piece").distinct().count() == 15
+    assert sorted(map(str, best.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert "FlatMapCoGroupsInArrow" in best._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stream_reads_one_index_and_repeats_no_batch(spark, tmp_path, monkeypatch):
     """Two runs with one checkpoint: the index is written once, and each claim is in the table once."""
     library, claims = some_library(spark)
