@@ -93,3 +93,18 @@ def test_components_of_a_long_path(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Few fingerprints, but 31 keys each and 2,081 points: neither side goes through the driver, whatever its estimate."""
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    plans, written = [], simhash.written
+    plan_of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "written", lambda frame, what: plans.append(plan_of(frame)) or written(frame, what))
+    rng = random.Random(9)
+    centre = rng.getrandbits(62)
+    values = sorted({centre ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 3))) for _ in range(60)})
+    linked = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    plans.append(plan_of(linked))
+    assert linked.count() > 0
+    assert sum(p.count("SortMergeJoin") for p in plans) == 2 and not any("Broadcast" in p for p in plans)

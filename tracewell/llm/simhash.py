@@ -12,7 +12,8 @@ Everything after the fingerprints works on distinct ones, so exact and very near
 buckets with one member are dropped by a map-side count; buckets of up to ``BUCKET`` members are linked in
 the task; the members of larger ones are linked, without pairs, over midpoints: two fingerprints within the radius
 share a point that is within RADIUS/2 of both, and any two that share one are within the radius.  That is
-exact, takes a fixed number of rows per fingerprint, and combines map-side.
+exact, takes a fixed number of rows per fingerprint, and combines map-side.  Exploded rows are joined by sort and merge:
+Spark takes them for as few bytes as the rows they come from and would send 31 or 2,081 times as many through the driver.
 
 Defined results: a null or empty text has the fingerprint zero and is linked like any other; rows with a
 null id are grouped too, but their id is never the smallest unless all are null; rows that repeat an id are
@@ -127,14 +128,14 @@ def links(values: DataFrame) -> DataFrame:
     keyed = values.select("fp", F.explode(tables).alias("x")).select(
         "fp", F.xxhash64(F.col("x.t"), F.col("fp").bitwiseAND(F.col("x.mask"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(keyed.join(sizes, "key"), "buckets")
+    shared = written(keyed.join(sizes.hint("merge"), "key"), "buckets")
     small = shared.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("members"))
     inside = small.select("members", _linked("members").alias("to")).select(
         F.explode(F.arrays_zip("members", "to")).alias("x")).select(F.col("x.members").alias("a"), F.col("x.to").alias("b"))
     crowded = shared.filter(F.col("n") > BUCKET).select("fp").distinct()
     points = crowded.select("fp", F.explode(_ball(F.col("fp"))).alias("point"))
     centre = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a < b").select("point", "a")
-    around = points.join(centre, "point").select("a", F.col("fp").alias("b"))
+    around = points.join(centre.hint("merge"), "point").select("a", F.col("fp").alias("b"))
     return inside.union(around).filter("a <> b").distinct()
 
 
